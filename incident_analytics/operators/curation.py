@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DATASET_LANGUAGE, RAW_TICKET_COLUMNS, TOP_QUEUES
 from ..functions.text import is_filled, joined_tags, strip_all, stripped
+from ..session import materialize
 from .scale import BROADCAST_ROWS, sequence_numbers
 
 TEXT_COLUMNS = ("subject", "body", "answer", "queue")
@@ -83,7 +84,10 @@ def kb_projection(df: DataFrame, order_col: str, prefix: str = "TKT-") -> DataFr
     NULL type and priority stay NULL.
     """
     tagged = df if "tags" in df.columns else ticket_tags(df)
-    numbered = sequence_numbers(tagged, order_col, out="__seq")
+    return _kb_columns(sequence_numbers(tagged, order_col, out="__seq"), prefix)
+
+
+def _kb_columns(numbered: DataFrame, prefix: str) -> DataFrame:
     return numbered.select(
         F.format_string(f"{prefix}%05d", F.col("__seq")).alias("ticket_id"),
         F.col("subject").alias("title"), F.col("body").alias("description"),
@@ -94,6 +98,17 @@ def kb_projection(df: DataFrame, order_col: str, prefix: str = "TKT-") -> DataFr
 
 def curate(df: DataFrame, order_col: str, lang: str = DATASET_LANGUAGE,
            queues: int = TOP_QUEUES, prefix: str = "TKT-") -> DataFrame:
-    """The whole curation: language, filled text, first copy, top queues, schema."""
-    kept = tickets_nonempty(tickets_lang_filter(normalize_columns(df), lang))
-    return kb_projection(top_queues(dedup_by_body(kept, order_col), queues), order_col, prefix)
+    """The whole curation: language, filled text, first copy, top queues, schema.
+
+    The exports are parsed and cleaned once and written to the shared folder.
+    Which rows survive, and their numbers, is then decided on three narrow columns
+    (position, body hash, queue); the text moves once, in the final join on the
+    unique position.
+    """
+    clean = ticket_tags(tickets_nonempty(tickets_lang_filter(normalize_columns(df), lang)))
+    clean = materialize(clean.withColumn("__body", F.sha2("body", 256)), "curate-clean")
+    firsts = clean.groupBy("__body").agg(F.min(order_col).alias(order_col),
+                                         F.min_by("queue", order_col).alias("queue"))
+    kept = materialize(top_queues(firsts, queues).select(order_col), "curate-kept")
+    numbers = sequence_numbers(kept, order_col, out="__seq")
+    return _kb_columns(clean.join(numbers, order_col), prefix)

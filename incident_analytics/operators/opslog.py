@@ -94,8 +94,8 @@ def ops_summary(log: DataFrame, window_seconds: float | None = None, as_of: Colu
     n = F.count(F.lit(1))
     rpm = F.when(span > 0, n / span).otherwise(n.cast("double"))
     totals = rows.agg(*_measures(effective_errors), F.round(rpm, 2).alias("throughput_rpm"))
-    tails = exact_percentiles(rows, [], "latency_ms", _PROBS).drop("__all")
-    tail = lambda c: F.coalesce(F.round(tails.select(c).scalar(), 2), F.lit(0.0))
+    tails = exact_percentiles(rows, [], "latency_ms", _PROBS).select(F.struct(*_PROBS)).scalar()
+    tail = lambda c: F.coalesce(F.round(tails[c], 2), F.lit(0.0))
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z)).alias(c)
     return totals.select(
         "requests", *[tail(c).alias(c) for c in _PROBS],

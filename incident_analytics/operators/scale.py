@@ -35,13 +35,12 @@ def sequence_numbers(df: DataFrame, order_col: str, keys: Sequence[str] = (),
     """
     keys = list(keys)
     o = F.col(order_col)
-    span = df.agg(F.min(o).alias("lo"), F.max(o).alias("hi"))
-    lo = span.select("lo").scalar()
-    width = span.select(F.greatest(
-        F.lit(1).cast("bigint"),
-        F.ceil((F.col("hi").cast("double") - F.col("lo").cast("double") + 1) / _BLOCKS)
-        .cast("bigint"))).scalar()
-    blocked = df.withColumn("__block", F.floor((o - lo) / width).cast("bigint"))
+    span = F.col("hi").cast("double") - F.col("lo").cast("double") + 1
+    grid = (df.agg(F.min(o).alias("lo"), F.max(o).alias("hi"))
+            .select(F.struct("lo", F.greatest(F.lit(1).cast("bigint"), F.ceil(span / _BLOCKS)
+                                              .cast("bigint")).alias("width")))).scalar()
+    block = F.floor((o - grid["lo"]) / grid["width"]).cast("bigint")
+    blocked = df.withColumn("__block", block)
 
     counts = (blocked.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__super", F.floor(F.col("__block") / _SUPER)))

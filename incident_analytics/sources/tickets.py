@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from ..operators.curation import union_raw
 from ..operators.scale import broadcast_if, fits_broadcast
 
-CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "encoding": "UTF-8"}
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> list[str]:
