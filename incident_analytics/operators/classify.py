@@ -125,10 +125,10 @@ def score_queues(df: DataFrame, model: PipelineModel, id_col: str = "ticket_id",
                  max_chars: int = CLASSIFIER_TEXT_CHARS) -> DataFrame:
     """(id, label, confidence, variant, error); an empty text gives an error row."""
     labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    body = stripped(F.col(text))
-    rows = df.select(F.col(id_col), F.substring(body, 1, max_chars).alias(text))
+    column = model.stages[1].getInputCol()
+    rows = df.select(F.col(id_col), F.substring(stripped(F.col(text)), 1, max_chars).alias(column))
     out = PipelineModel(model.stages[1:]).transform(rows)
-    empty = F.col(text) == ""
+    empty = F.col(column) == ""
     return out.select(
         id_col,
         F.when(~empty, labels[F.col("__yhat").cast("int")]).alias("label"),

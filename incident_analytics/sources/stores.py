@@ -32,7 +32,7 @@ def read_sops(spark: SparkSession, path: str, pattern: str = "*", max_chars: int
     The slug is the file's stem, or the partition value when the store is
     partitioned by ``slug``.
     """
-    files = (spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(path))
+    files = (spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True))
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     slug = F.col("slug").cast("string") if "slug" in files.columns else F.url_decode(stem)
     return files.select(slug.alias("slug"), F.substring("value", 1, max_chars).alias("sop_text"))
