@@ -212,7 +212,7 @@ register("score_queues", _logistic)
 
 _SENTENCES = r"regexp_extract_all(text, '[^.!?\n]+[.!?]*')"
 register("extractive_summaries",
-         lambda s, d: extractive_summaries(b.table(s, d, "documents"), "doc_id"),
+         lambda s, d: extractive_summaries(b.documents(s, d), "doc_id"),
          f"""WITH base AS (SELECT doc_id, {b.strip_sql('text')} AS text FROM documents),
          long_texts AS (SELECT * FROM base WHERE length(text) >= 40),
          nd AS (SELECT count(*) AS n FROM long_texts),
@@ -265,7 +265,7 @@ def _opening_messages(s, d):
 
 
 def _journey(s, d):
-    docs = b.table(s, d, "documents")
+    docs = b.documents(s, d)
     labelled = docs.select("text", F.col("lang").alias("label"))
     encoder = fit_text_encoder(docs.withColumnRenamed("text", "incident"), "incident")
     kb = embed_corpus(b.kb_metadata(s, d).withColumn("incident", F.col("description")), "incident", model=encoder)

@@ -34,7 +34,7 @@ _N = "CAST(count(*) AS BIGINT)"
 _TOTALS = f"""{_N} AS requests, round(quantile_disc(latency_ms, 0.5), 2) AS latency_p50_ms,
   round(quantile_disc(latency_ms, 0.95), 2) AS latency_p95_ms,
   CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
-  round(sum(cost_usd), 6) AS cost_usd, round(count(*) FILTER (WHERE status = 'error') / count(*), 4)
+  CAST(round(sum(CAST(cost_usd AS DECIMAL(28,9))), 6) AS DOUBLE) AS cost_usd, round(count(*) FILTER (WHERE status = 'error') / count(*), 4)
   AS error_rate, round(count(*) FILTER (WHERE cache_hit = 1) / count(*), 4) AS cache_hit_rate"""
 _SPAN = "((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6)"
 _RPM = f"round(CASE WHEN {_SPAN} > 0 THEN count(*) / {_SPAN} ELSE count(*) END, 2) AS throughput_rpm"
@@ -57,7 +57,7 @@ register("latency_percentiles",
 register("priced_requests",
          lambda s, d: b.request_log(s, d).select("id", "model", F.round("cost_usd", 9).alias("cost_usd")),
          f"WITH {LOG} SELECT id, model, round(cost_usd, 9) AS cost_usd FROM log")
-_GROUP = f"""{_N} AS calls, round(avg(latency_ms), 1) AS avg_ms, round(sum(cost_usd), 6) AS cost_usd,
+_GROUP = f"""{_N} AS calls, round(avg(latency_ms), 1) AS avg_ms, CAST(round(sum(CAST(cost_usd AS DECIMAL(28,9))), 6) AS DOUBLE) AS cost_usd,
   CAST(count(*) FILTER (WHERE status = 'error') AS BIGINT) AS errors"""
 register("ops_by_model", lambda s, d: o.ops_by_model(b.request_log(s, d)),
          f"WITH {LOG} SELECT model, {_GROUP} FROM log WHERE subtask <> 'feedback' GROUP BY model")
@@ -67,7 +67,7 @@ register("ops_by_prompt_version", lambda s, d: o.ops_by_prompt_version(b.request
          WHERE subtask <> 'feedback')
          SELECT prompt_version, {_N} AS calls, round(avg(latency_ms), 1) AS avg_ms,
          CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
-         round(sum(cost_usd), 6) AS cost_usd FROM v WHERE prompt_version IS NOT NULL GROUP BY 1""")
+         CAST(round(sum(CAST(cost_usd AS DECIMAL(28,9))), 6) AS DOUBLE) AS cost_usd FROM v WHERE prompt_version IS NOT NULL GROUP BY 1""")
 _VOTE = "TRY_CAST(CASE WHEN json_valid(extra) THEN json_extract_string(extra, '$.value') END AS BIGINT)"
 _FEEDBACK = f"""SELECT CAST(count(*) FILTER (WHERE v > 0) AS BIGINT) AS up,
   CAST(count(*) FILTER (WHERE v < 0) AS BIGINT) AS down,
@@ -200,7 +200,7 @@ def _closed(df):
 
 
 _STREAM_TOTALS = f"""{_N} AS requests, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
-  CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(cost_usd), 6) AS cost_usd,
+  CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(round(sum(CAST(cost_usd AS DECIMAL(28,9))), 6) AS DOUBLE) AS cost_usd,
   round(count(*) FILTER (WHERE status = 'error') / count(*), 4) AS error_rate,
   round(count(*) FILTER (WHERE cache_hit = 1) / count(*), 4) AS cache_hit_rate"""
 _MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 MINUTE FROM {0})"

@@ -85,7 +85,7 @@ register("retrieval_settings_key",
          sha256(p || '{"mode":"kb","text":"' || q || '","threshold":"0.35","top_k":3}') AS with_kb,
          sha256(p || '{"mode":"off","text":"' || q || '"}') AS without_kb FROM t""")
 register("embed_corpus",
-         lambda s, d: r.embed_corpus(b.table(s, d, "documents")).select(
+         lambda s, d: r.embed_corpus(b.documents(s, d)).select(
              "doc_id", F.size("embedding").alias("dim"),
              F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 3)
              .alias("squared_norm")))

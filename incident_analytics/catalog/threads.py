@@ -33,7 +33,7 @@ def _as_of():
 
 
 register("thread_title",
-         lambda s, d: b.table(s, d, "documents").select("doc_id", thread_title(F.col("text")).alias("title")),
+         lambda s, d: b.documents(s, d).select("doc_id", thread_title(F.col("text")).alias("title")),
          f"SELECT doc_id, {b.title_sql('text')} AS title FROM documents")
 _DAYS = f"date_diff('day', CAST({{0}} AS DATE), DATE '{AS_OF[:10]}')"
 _BUCKET = (f"CASE WHEN {_DAYS} <= 0 THEN 'Today' WHEN {_DAYS} = 1 THEN 'Yesterday' "

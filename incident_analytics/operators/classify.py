@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASSIFIER_TEXT_CHARS, SEED
 from ..functions.text import stripped
+from ..session import materialize
 from .sampling import stratified_cap
 from .scale import fits_broadcast, heavy_keys, salted_join
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 EMPTY_TEXT = "ValueError: empty text"
 MAX_LABELS = 10_000
+VOCABULARY_ROWS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -31,7 +33,7 @@ def tokens(text: Column) -> Column:
 
 @dataclass
 class NaiveBayesTables:
-    """Counts that make up the model; all of them are DataFrames."""
+    """Counts that make up the model, stored in the shared folder."""
 
     token_counts: DataFrame   # label, token, n
     class_stats: DataFrame    # label, docs, n_tokens
@@ -40,21 +42,23 @@ class NaiveBayesTables:
 def train_queue_nb(train: DataFrame, text: str = "text", label: str = "label") -> NaiveBayesTables:
     """Count tokens per label and documents per label (Laplace smoothing at scoring)."""
     words = train.select(F.col(label).cast("string").alias("label"),
-                         F.explode(tokens(F.col(text))).alias("token"))
+                         F.explode_outer(tokens(F.col(text))).alias("token")).where("token IS NOT NULL")
     counts = words.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
     stats = train.groupBy(F.col(label).cast("string").alias("label")).agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum(F.size(tokens(F.col(text)))).cast("bigint").alias("n_tokens"))
-    return NaiveBayesTables(counts, stats)
+    return NaiveBayesTables(materialize(counts, "nb-tokens"), materialize(stats, "nb-labels"))
 
 
 def score_queue_nb(df: DataFrame, model: NaiveBayesTables, id_col: str = "ticket_id",
-                   text: str = "text", variant: str = "tuned") -> DataFrame:
+                   text: str = "text", variant: str = "tuned",
+                   vocabulary_rows: int = VOCABULARY_ROWS) -> DataFrame:
     """(id, label, confidence, variant, error) for every row of ``df``.
 
     score(c) = ln P(c) + sum over tokens of ln(n_tc + 1) - tokens * ln(T_c + V).
-    Token rows meet the weights by an equi-join in which very frequent tokens are
-    salted.  Only counts present in the model are joined; absent ones add ln 1 = 0.
+    A model counted to fit is broadcast; token rows meet a larger one in an
+    equi-join with frequent tokens salted.  Only counts present in the model are
+    joined; absent ones add ln 1 = 0.
     """
     if not fits_broadcast(model.class_stats, MAX_LABELS):
         raise ValueError(f"more than {MAX_LABELS} labels")
@@ -69,13 +73,15 @@ def score_queue_nb(df: DataFrame, model: NaiveBayesTables, id_col: str = "ticket
     base = (filled.withColumn("__c", F.explode(classes))
             .select("__id", F.col("__c.label").alias("label"),
                     (F.col("__c.prior") - F.size("__tokens") * F.col("__c.norm")).alias("s")))
-    words = (filled.select("__id", F.explode("__tokens").alias("token"))
-             .groupBy("__id", "token").agg(F.count(F.lit(1)).alias("tf")))
-    frequency = filled.select(F.explode(F.array_distinct("__tokens")).alias("token")).groupBy(
-        "token").agg(F.count(F.lit(1)).alias("df"))
+    words = (filled.select("__id", F.explode_outer("__tokens").alias("token"))
+             .where("token IS NOT NULL").groupBy("__id", "token").agg(F.count(F.lit(1)).alias("tf")))
     weights = model.token_counts.select("token", "label", F.log(F.col("n") + 1.0).alias("w"))
-    evidence = (salted_join(words, weights, "token", heavy_keys(frequency, "token", "df"), F.col("__id"))
-                .select("__id", "label", (F.col("tf") * F.col("w")).alias("s")))
+    if fits_broadcast(weights, vocabulary_rows):
+        weighted = words.join(F.broadcast(weights), "token")
+    else:
+        frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        weighted = salted_join(words, weights, "token", heavy_keys(frequency, "token", "df"), F.col("__id"))
+    evidence = weighted.select("__id", "label", (F.col("tf") * F.col("w")).alias("s"))
     scored = (base.unionByName(evidence).groupBy("__id", "label")
               .agg(F.round(F.sum("s"), 6).alias("s")))
     ranked = scored.groupBy("__id").agg(F.array_sort(F.collect_list(

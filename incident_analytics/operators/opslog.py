@@ -51,13 +51,18 @@ def _failed(effective_errors: bool) -> Column:
         if effective_errors else failed
 
 
+def total_cost() -> Column:
+    """Sum of costs to 6 places, as decimals: the same whatever order rows arrive in."""
+    return F.round(F.sum(F.col("cost_usd").cast("decimal(28,9)")), 6).cast("double")
+
+
 def _measures(effective_errors: bool) -> list[Column]:
     n = F.count(F.lit(1))
     rate = lambda flag: F.round(F.count_if(flag) / n, 4)
     return [
         n.alias("requests"),
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        total_cost().alias("cost_usd"),
         rate(_failed(effective_errors)).alias("error_rate"),
         rate(F.col("cache_hit") == 1).alias("cache_hit_rate"),
     ]
@@ -115,7 +120,7 @@ def ops_summary_by_subtask(log: DataFrame, effective_errors: bool = False) -> Da
 def _per_group(log: DataFrame, key: str) -> DataFrame:
     return no_feedback(log).groupBy(key).agg(
         F.count(F.lit(1)).alias("calls"), F.round(F.avg("latency_ms"), 1).alias("avg_ms"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        total_cost().alias("cost_usd"),
         F.count_if(F.col("status") == "error").alias("errors"))
 
 
@@ -138,7 +143,7 @@ def ops_by_prompt_version(log: DataFrame) -> DataFrame:
             .groupBy("prompt_version").agg(
                 F.count(F.lit(1)).alias("calls"), F.round(F.avg("latency_ms"), 1).alias("avg_ms"),
                 F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-                F.round(F.sum("cost_usd"), 6).alias("cost_usd")))
+                total_cost().alias("cost_usd")))
 
 
 def feedback_summary(log: DataFrame) -> DataFrame:

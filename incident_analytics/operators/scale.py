@@ -23,6 +23,17 @@ def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Repartition a plain scan that has fewer partitions than the cluster has cores.
+
+    For scans of few, large files in front of work that is heavy on the processor;
+    a scan with enough partitions is returned as it is.  Hashing on a unique key
+    keeps the placement the same when a task is run again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def sequence_numbers(df: DataFrame, order_col: str, keys: Sequence[str] = (),
                      out: str = "seq") -> DataFrame:
     """Dense numbers from 1 in the order of a unique BIGINT column.

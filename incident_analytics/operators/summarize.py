@@ -6,50 +6,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SUMMARY_MIN_CHARS
-from ..functions.text import WHITESPACE_CLASS, collapse_whitespace, stripped
-from .classify import tokens
-from .scale import heavy_keys, salted_join
+from ..functions.text import collapse_whitespace, stripped
+from ..session import materialize
+from .classify import VOCABULARY_ROWS, tokens
+from .scale import fits_broadcast, heavy_keys, salted_join
 
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
 
 
-def sentences(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, pos, sentence, tokens) with the distinct tokens of each sentence."""
-    found = F.posexplode(F.regexp_extract_all(F.col(text), F.lit(SENTENCE_PATTERN), F.lit(0)))
-    return (df.select(id_col, found.alias("pos", "sentence"))
-            .withColumn("sentence", collapse_whitespace(F.col("sentence")))
-            .withColumn("tokens", F.array_distinct(tokens(F.col("sentence"))))
-            .where(F.size("tokens") > 0))
+def sentence_table(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row per text: its sentences with position and distinct tokens."""
+    found = F.regexp_extract_all(F.col(text), F.lit(SENTENCE_PATTERN), F.lit(0))
+    cut = F.transform(found, lambda s, i: F.struct(
+        i.alias("pos"), collapse_whitespace(s).alias("sentence"),
+        F.array_distinct(tokens(s)).alias("tokens")))
+    return df.select(id_col, cut.alias("parts"))
 
 
 def extractive_summaries(df: DataFrame, id_col: str = "id", text: str = "text", keep: int = 3,
-                         min_chars: int = SUMMARY_MIN_CHARS) -> DataFrame:
+                         min_chars: int = SUMMARY_MIN_CHARS,
+                         vocabulary_rows: int = VOCABULARY_ROWS) -> DataFrame:
     """(id, summary): texts under ``min_chars`` come back unchanged.
 
     A sentence scores the sum of its tokens' inverse document frequencies over
-    the square root of their number.  The whole text is read.  Token rows meet the
-    document frequencies in an equi-join with frequent tokens salted; the best
-    sentences per text are cut by a group limit before their shuffle.
+    the square root of their number.  The whole text is read, and cut into
+    sentences and tokens once: that table and the document frequencies are
+    written to the shared folder.  A vocabulary counted to fit is broadcast, so
+    token rows are scored and summed where they are; a larger one is joined by
+    token with frequent tokens salted.  The best sentences per text are cut by a
+    group limit before their shuffle.
     """
     base = df.select(F.col(id_col), stripped(F.col(text)).alias("__text"))
     long = base.where(F.length("__text") >= min_chars)
-    n_docs = long.agg(F.count(F.lit(1))).scalar()
-    frequency = (long.select(F.explode(F.array_distinct(tokens(F.col("__text")))).alias("token"))
-                 .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    parts = materialize(sentence_table(long, id_col, "__text"), "summary-sentences")
+    n_docs = parts.agg(F.count(F.lit(1))).scalar()
+    words_of = F.array_distinct(F.flatten(F.col("parts.tokens")))
+    # explode_outer: a plain explode would add a filter that tokenises a second time.
+    frequency = materialize(
+        parts.select(F.explode_outer(words_of).alias("token")).where("token IS NOT NULL")
+        .groupBy("token").agg(F.count(F.lit(1)).alias("df")), "summary-frequency")
     idf = frequency.select("token", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"))
-    parts = sentences(long, id_col, "__text")
-    words = parts.select(id_col, "pos", F.explode("tokens").alias("token"))
-    scored = (salted_join(words, idf, "token", heavy_keys(frequency, "token", "df"),
-                          F.struct(id_col, "pos"))
-              .groupBy(id_col, "pos")
-              .agg(F.round(F.sum("idf") / F.sqrt(F.count(F.lit(1))), 6).alias("score")))
+    sentences = parts.select(id_col, F.explode_outer("parts").alias("p"))
+    words = (sentences.select(id_col, "p.pos", F.explode_outer("p.tokens").alias("token"))
+             .where("token IS NOT NULL"))
+    if fits_broadcast(frequency, vocabulary_rows):
+        weighted = words.join(F.broadcast(idf), "token")
+    else:
+        weighted = salted_join(words, idf, "token", heavy_keys(frequency, "token", "df"),
+                               F.struct(id_col, "pos"))
+    scored = weighted.groupBy(id_col, "pos").agg(
+        F.round(F.sum("idf") / F.sqrt(F.count(F.lit(1))), 6).alias("score"))
     order = Window.partitionBy(id_col).orderBy(F.desc("score"), "pos")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-    digest = (parts.select(id_col, "pos", "sentence").join(best, [id_col, "pos"])
+    digest = (sentences.select(id_col, "p.pos", "p.sentence").join(best, [id_col, "pos"])
               .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
               .select(id_col, F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("digest")))
     return (base.join(digest, id_col, "left")
             .select(id_col, F.coalesce("digest", "__text").alias("summary")))
-
-
-__all__ = ["sentences", "extractive_summaries", "SENTENCE_PATTERN", "WHITESPACE_CLASS"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.opslog import no_feedback
+from ..operators.opslog import no_feedback, total_cost
 from ..session import scratch_path
 
 DELAY = "2 minutes"
@@ -27,7 +27,7 @@ def _rates() -> list[Column]:
     n = F.count(F.lit(1))
     return [
         n.alias("requests"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        total_cost().alias("cost_usd"),
         F.round(F.count_if(F.col("status") == "error") / n, 4).alias("error_rate"),
         F.round(F.count_if(F.col("cache_hit") == 1) / n, 4).alias("cache_hit_rate")]
 
