@@ -87,7 +87,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     base = df.select(*([F.col(k) for k in keys] or [F.lit(0).alias("__all")]),
                      v.cast("double").alias("__v")).where(F.col("__v").isNotNull())
     distinct = base.groupBy(*grouped, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    bucket = F.floor(F.signum("__v") * F.log1p(F.abs("__v")) * resolution)
+    # Never NULL: the join below then adds no filter that would keep the counts from being reused.
+    bucket = F.coalesce(F.floor(F.signum("__v") * F.log1p(F.abs("__v")) * resolution), F.lit(0))
     counted = distinct.withColumn("__b", bucket)
 
     per_key = Window.partitionBy(*grouped)
