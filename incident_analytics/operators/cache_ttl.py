@@ -67,7 +67,9 @@ def _follow_hot(times: DataFrame, hot: DataFrame, ttl: int, max_rows: int) -> Da
     quantile of the phases that holds about ``max_rows`` requests, which bounds
     the rows per task.  The round follows the chain until it would leave the band;
     the next round starts at the miss after that, found by a distributed minimum.
-    Every round fixes at least one miss and none is guessed.  The state (one row
+    Every round fixes at least one miss and none is guessed, so there are at most
+    (span of the key / ttl) rounds; dense keys need far fewer, because one band
+    then covers many lifetimes.  The state (one row
     per hot key) and the misses are written to the shared folder between rounds.
     """
     halvings = 24

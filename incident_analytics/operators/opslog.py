@@ -58,7 +58,7 @@ def total_cost() -> Column:
 
 def _measures(effective_errors: bool) -> list[Column]:
     n = F.count(F.lit(1))
-    rate = lambda flag: F.round(F.count_if(flag) / n, 4)
+    rate = lambda flag: F.round(F.try_divide(F.count_if(flag), n), 4)  # noqa: E731  (NULL without rows)
     return [
         n.alias("requests"),
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
