@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logs import request_key
 from ..functions.text import approx_tokens
+from ..session import materialize
 from .scale import heavy_keys, salted_join
 
 Result = str | tuple[str, int, int]
@@ -49,6 +50,8 @@ def apply_metered(df: DataFrame, fn: Callable[..., Result], subtask: str, model:
     knows its usage; otherwise tokens are estimated from the lengths.  The first
     row (by id) of a payload made the call; later rows with a successful result
     are cache hits.  A failed payload is not cached: its repeats are errors too.
+    The calls are made here, and their results written to the shared folder, so
+    that later uses of the returned table do not repeat them.
     Adds output, status, error, latency_ms, tokens_in, tokens_out,
     tokens_estimated and cache_hit.
     """
@@ -58,7 +61,8 @@ def apply_metered(df: DataFrame, fn: Callable[..., Result], subtask: str, model:
     firsts = keyed.groupBy("__key").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("__n"))
     calls = keyed.join(firsts.select("__key", F.col("__first").alias(id_col)), ["__key", id_col],
                        "left_semi")
-    results = calls.select("__key", *payload_cols).mapInPandas(_call(fn, payload_cols), _CALLED)
+    results = materialize(
+        calls.select("__key", *payload_cols).mapInPandas(_call(fn, payload_cols), _CALLED), "metered-calls")
     answered = results.join(firsts.select("__key", "__first"), "__key")
     rows = salted_join(keyed, answered, "__key", heavy_keys(firsts, "__key", "__n"), F.col(id_col))
     text = F.concat_ws(" ", *[F.col(c).cast("string") for c in payload_cols])

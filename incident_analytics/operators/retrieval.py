@@ -16,15 +16,16 @@ from ..constants import SIMILARITY_THRESHOLD, SNIPPET_CHARS, TOP_K
 
 Encoder = Callable[[pd.Series], np.ndarray]
 
-_PACKED = "block bigint, ids binary, vectors binary, n int, dim int"
+_PACKED = "shard bigint, ids binary, vectors binary, n int, dim int"
 _SCORED = "query_id bigint, vec_id bigint, score double"
 _HELD_ROWS = 1_000_000
+_BUFFERED_ROWS = 65_536
 
 
 def fit_text_encoder(df: DataFrame, text_col: str = "text", dim: int = 384) -> PipelineModel:
     """Fit hashed tf-idf weights on the cluster; the model is one vector of ``dim`` numbers."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=r"\W+"),
+        RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim),
         IDF(inputCol="__tf", outputCol="__idf"),
         Normalizer(inputCol="__idf", outputCol="__unit", p=2.0),
@@ -68,23 +69,40 @@ def build_vector_table(df: DataFrame, embedding: str = "embedding") -> DataFrame
     return df.withColumn(embedding, unit_vector(F.col(embedding)))
 
 
-def pack_vectors(df: DataFrame, id_col: str, vector_col: str, block_rows: int = 4096) -> DataFrame:
-    """Pack rows into blocks of at most ``block_rows`` vectors, without a shuffle."""
+def pack_vectors(df: DataFrame, id_col: str, vector_col: str, shards: int = 1,
+                 block_rows: int = 4096) -> DataFrame:
+    """Pack rows into blocks of at most ``block_rows`` vectors of one shard, without a shuffle.
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = 0
-        for batch in batches:
-            for start in range(0, len(batch), block_rows):
-                part = batch.iloc[start:start + block_rows]
-                ids = part["__id"].to_numpy(dtype=np.int64)
-                vectors = np.stack(part["__v"].to_numpy()).astype(np.float32)
+    A vector's shard follows from its id alone, so it is the same when a lost task
+    is run again.  At most ``_BUFFERED_ROWS`` vectors are held at a time.
+    """
+
+    def blocks(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(held, ignore_index=True).sort_values(["__shard", "__id"], kind="stable")
+        for shard, part in rows.groupby("__shard", sort=False):
+            for start in range(0, len(part), block_rows):
+                block = part.iloc[start:start + block_rows]
+                ids = block["__id"].to_numpy(dtype=np.int64)
+                vectors = np.stack(block["__v"].to_numpy()).astype(np.float32)
                 yield pd.DataFrame({
-                    "block": [number], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()],
+                    "shard": [shard], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()],
                     "n": [len(ids)], "dim": [vectors.shape[1]]})
-                number += 1
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= _BUFFERED_ROWS:
+                yield from blocks(held)
+                held, size = [], 0
+        if held:
+            yield from blocks(held)
 
     rows = df.select(F.col(id_col).cast("bigint").alias("__id"), F.col(vector_col).alias("__v"))
-    return rows.where(F.col("__v").isNotNull()).mapInPandas(pack, _PACKED)
+    return (rows.where(F.col("__v").isNotNull())
+            .withColumn("__shard", F.pmod(F.xxhash64("__id"), F.lit(shards)))
+            .mapInPandas(pack, _PACKED))
 
 
 def _merge_best(held: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, ids: np.ndarray,
@@ -168,9 +186,8 @@ def similar_topk(queries: DataFrame, kb: DataFrame, k: int = TOP_K,
     """
     spark = queries.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kb_blocks = pack_vectors(kb, kb_id, vector, block_rows).withColumn(
-        "shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
-    q_blocks = (pack_vectors(queries, query_id, vector, block_rows)
+    kb_blocks = pack_vectors(kb, kb_id, vector, shards, block_rows)
+    q_blocks = (pack_vectors(queries, query_id, vector, block_rows=block_rows)
                 .select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "n", "dim")])
                 .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                           F.lit(shards - 1).cast("bigint")))))
