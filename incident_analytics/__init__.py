@@ -9,3 +9,11 @@ Every public operator takes and returns DataFrames.  Sub-packages:
 ``streaming``  Structured Streaming counterparts
 ``catalog``    the queries registered for verification, with their SQL twins
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so that executors need no
+# installed copy of this package (nor the driver's working directory).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

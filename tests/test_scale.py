@@ -67,3 +67,19 @@ def test_salted_join_equals_plain_join(spark):
     joined = salted_join(left, right, "token", heavy, F.col("id"))
     assert joined.exceptAll(left.join(right, "token").select(*joined.columns)).count() == 0
     assert joined.count() == 6000
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    """Executors need no copy of the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from incident_analytics.operators.cache_ttl import _follow_key
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(_follow_key(5)))
+    code = ("import pickle, pandas as pd; f = pickle.load(open('f.pkl', 'rb'));"
+            "print(list(f(pd.DataFrame({'__key': ['k'] * 3, '__us': [0, 5, 6]}))['__us']))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == "[0, 6]"
