@@ -42,7 +42,9 @@ def trailing(log: DataFrame, window_seconds: float | None, as_of: Column | None)
     if as_of is None:
         raise ValueError("a trailing window needs as_of")
     start = as_of - F.make_dt_interval(secs=F.lit(window_seconds).cast("decimal(18,6)"))
-    return log.where(F.col("ts") >= start)
+    # A log partitioned by day skips the days before the window.
+    days = log.where(F.col("date") >= F.to_date(start)) if "date" in log.columns else log
+    return days.where(F.col("ts") >= start)
 
 
 def _failed(effective_errors: bool) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SIMILARITY_THRESHOLD, SNIPPET_CHARS, TOP_K
+from ..session import materialize
+from .scale import broadcast_if, fits_broadcast
 
 Encoder = Callable[[pd.Series], np.ndarray]
 
@@ -199,10 +201,18 @@ def similar_topk(queries: DataFrame, kb: DataFrame, k: int = TOP_K,
 
 def hits_with_metadata(hits: DataFrame, kb: DataFrame, kb_id: str = "vec_id",
                        snippet: int = SNIPPET_CHARS) -> DataFrame:
-    """Attach ticket fields to hits; score to 4 places, padding hits (id -1) dropped."""
+    """Attach ticket fields to hits; score to 4 places, padding hits (id -1) dropped.
+
+    The hits (at most queries * k narrow rows) are written to the shared folder and
+    counted.  If they fit they are broadcast, and the knowledge base with its texts
+    is scanned once without a shuffle; otherwise adaptive execution joins both and
+    splits the partition of a ticket that very many queries hit.
+    """
     meta = kb.select(F.col(kb_id).alias("vec_id"), "ticket_id", "title",
                      F.substring("description", 1, snippet).alias("description"),
                      "resolution", "category",
                      F.coalesce("priority", F.lit("")).alias("priority"))
-    return (hits.where(F.col("vec_id") >= 0).join(meta, "vec_id")
+    found = materialize(hits.where(F.col("vec_id") >= 0), "hits")
+    return (meta.join(broadcast_if(found, fits_broadcast(found)), "vec_id")
+            .select(*hits.columns, *[c for c in meta.columns if c != "vec_id"])
             .withColumn("score", F.round("score", 4)))

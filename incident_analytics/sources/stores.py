@@ -69,12 +69,16 @@ def append_request_log_stream(stream: DataFrame, path: str, checkpoint: str):
             .trigger(availableNow=True).start())
 
 
-def read_request_log(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """Read the log; ``since`` (a date) prunes partitions besides filtering."""
+def read_request_log(spark: SparkSession, path: str, since: str | None = None,
+                     keep_date: bool = False) -> DataFrame:
+    """Read the log; ``since`` (a date) prunes partitions besides filtering.
+
+    With ``keep_date`` the partition column stays, and trailing reports use it.
+    """
     log = spark.read.parquet(path)
     if since is not None:
         log = log.where(F.col("date") >= F.lit(since).cast("date"))
-    return log.drop("date")
+    return log if keep_date else log.drop("date")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -57,12 +57,22 @@ def trailing_summary_stream(stream: DataFrame, span: str = "6 hours", slide: str
     return _bounds(stream.withWatermark("ts", delay).groupBy(F.window("ts", span, slide)).agg(*_rates()))
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is available into a parquet table in the shared folder and read it back."""
+def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
+    """Process what is available into a parquet table in the shared folder and read it back.
+
+    State is kept in as many partitions as the cluster has cores unless given:
+    the number is fixed when a query starts, and every micro-batch opens them all.
+    """
     spark = stream.sparkSession
     base = scratch_path(spark, name)
-    query: StreamingQuery = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        query: StreamingQuery = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")

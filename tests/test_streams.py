@@ -66,6 +66,9 @@ def test_log_sink_as_stream(spark, sf):
     assert since.count() == log.where("ts >= '2024-01-20'").count()
     plan = since._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+    as_of = F.lit("2024-01-31").cast("timestamp")
+    dated = o.ops_summary(read_request_log(spark, path, keep_date=True), 3 * 86400, as_of)
+    assert dated.collect() == o.ops_summary(log, 3 * 86400, as_of).collect()
 
 
 def test_training_log_and_inventory(spark, tmp_path):
