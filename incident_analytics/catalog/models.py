@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import classify as c
@@ -279,5 +278,3 @@ def _journey(s, d):
 
 
 register("incident_journey", _journey)
-
-__all__ = ["QUERIES", "ORACLES", "Window"]

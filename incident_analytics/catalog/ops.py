@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.logs import model_version, request_error, request_key, version_stamp
+from ..functions.logs import request_error, request_key, version_stamp
 from ..functions.text import approx_tokens
 from ..operators import opslog as o
 from ..operators.cache_ttl import cache_table, ttl_requests
@@ -225,5 +225,3 @@ register("trailing_summary_stream",
 register("ttl_requests_stream",
          lambda s, d: run_available(ttl_requests_stream(log_stream(s, d), _KEYS), "ttl"),
          _CHAIN + " SELECT id, hit FROM decided")
-
-__all__ = ["QUERIES", "ORACLES", "log_stream", "model_version"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.logs import DEFAULT_STYLE, PROMPT_STYLES, retrieval_request_key, with_prompt_style
-from ..functions.text import queue_slug
 from ..operators import grounding as g
 from ..operators import retrieval as r
 from ..session import scratch_path
@@ -162,5 +161,3 @@ register("citation_usage", lambda s, d: g.citation_usage(b.messages(s, d)),
          SELECT 'ticket' AS kind, source_id, {_N} AS uses FROM (SELECT unnest(CAST(meta_json->'$.grounded_on'
          AS VARCHAR[])) AS source_id FROM a) GROUP BY source_id
          UNION ALL SELECT 'sop', json_extract_string(meta_json, '$.sop'), {_N} FROM a GROUP BY 2""")
-
-__all__ = ["QUERIES", "ORACLES", "queue_slug"]

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import (classifier_text, embed_text, is_filled, queue_slug, strip_all, stripped,
-                              tag_array)
+from ..functions.text import classifier_text, embed_text, queue_slug, tag_array
 from ..operators import curation as c
 from ..operators import sampling as m
 from ..operators.generate import DATE_RANGE, FIRST_DATE, POOLS, PRIORITIES, TEMPLATES, generate_for
@@ -41,10 +40,6 @@ def _exported(s, d):
     return read_raw_tickets(s, path).drop("src_ord")
 
 
-def _null_blank(x):
-    return f"nullif({x}, '')"
-
-
 register("read_raw_tickets",
          lambda s, d: _exported(s, d).select(
              *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in _RAW_TEXT]),
@@ -249,5 +244,3 @@ register("generate_tickets",
          'Incident' AS type, {_list_sql(PRIORITIES)}[1 + {_draw_sql('priority', len(PRIORITIES))}] AS priority,
          '' AS tags, CAST(DATE '{FIRST_DATE}' + CAST({_draw_sql('date', DATE_RANGE)} AS INT) AS VARCHAR)
          AS resolved_date FROM g""")
-
-__all__ = ["QUERIES", "ORACLES", "is_filled", "strip_all", "stripped"]
