@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incident_analytics.llm import quality_lines
+from incident_analytics.llm import quality_lines, token_planes
 from incident_analytics.llm.rows import spread, table
 
 
@@ -13,7 +13,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.line_quality(docs, with_text=False)
 
 
+def byte_bpe() -> str:
+    """Default place of the public byte-level tokenizer; every operator takes the path as a parameter."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    manifest = token_planes.write_token_files(docs, byte_bpe())
+    return token_planes.read_token_files(manifest).drop("file_row")
+
+
 QUERIES = {
+    "op8_token_planes": op8_token_planes,
     "op4_quality_rules": op4_quality_rules,
 }
 ORACLES = {
