@@ -38,7 +38,7 @@ from incident_analytics.session import materialize, scratch_path
 MAGIC = b"TOKPLAN1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-TEXTS = 512
+TEXTS = 2048
 MANIFEST = StructType([
     StructField("path", StringType()), StructField("first_id", LongType()),
     StructField("n_docs", LongType()), StructField("n_ids", LongType()),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,26 +37,31 @@ class WordCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _known(self, word: str) -> bytes | None:
-        found = self.young.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is not None:
-                self.young[word] = found
+    def _lookup(self, words: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, words))
+        if self.old:
+            for i, ids in enumerate(found):
+                if ids is None and (ids := self.old.get(words[i])) is not None:
+                    found[i] = self.young[words[i]] = ids
         return found
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids (32 bit) of each word, every one cut by the rules of the tokenizer itself."""
+        """Ids (32 bit) of each distinct word, every one cut by the rules of the tokenizer itself."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        parts = [(m[1], m[2]) if (m := _STEM.fullmatch(w)) else (w,) for w in words]
-        missing = list(dict.fromkeys(p for pair in parts for p in pair if self._known(p) is None))
+        found = self._lookup(words)
+        new = [i for i, ids in enumerate(found) if ids is None]
+        parts = [(m[1], m[2]) if (m := _STEM.fullmatch(words[i])) else (words[i],) for i in new]
+        stems = list(dict.fromkeys(p for pair in parts for p in pair))
+        known = dict(zip(stems, self._lookup(stems)))
+        missing = [w for w, ids in known.items() if ids is None]
         for start in range(0, len(missing), 4096):
             some = missing[start:start + 4096]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.young.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in coded)))
-        known = self.young
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
+            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[word] = self.young[word] = array("I", coded.ids).tobytes()
+        for i, pair in zip(new, parts):
+            found[i] = self.young[words[i]] = b"".join([known[p] for p in pair])
+        return found
 
     def regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids in a row and the count per text, for texts with single inner white space only."""
@@ -73,24 +79,24 @@ class WordCache:
         form = 2 * word + ~bare
         forms = np.flatnonzero(np.bincount(form, minlength=2 * len(names)))
         ids = self.words([" " + names[f >> 1] if f & 1 else names[f >> 1] for f in forms.tolist()])
-        lengths = np.zeros(2 * len(names), np.int64)
+        lengths = np.zeros(2 * len(names), np.int32)
         lengths[forms] = [len(b) // 4 for b in ids]
-        begins = np.cumsum(lengths) - lengths
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
         flat = np.frombuffer(b"".join(ids), "<u4")
         n = lengths[form]
-        at = np.repeat(begins[form] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return flat[at], np.add.reduceat(n, firsts) if len(firsts) else n
+        at = np.repeat(begins[form] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=n.dtype)
+        return flat[at], np.add.reduceat(n, firsts, dtype=np.int64) if len(firsts) else n
 
     def any_text(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.words(_WORDS.findall(text))), "<u4")
 
     def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: empty), ``end_id`` after each, and the count per text."""
-        array = pa.array([t or "" for t in texts], pa.string())
-        odd = pc.match_substring_regex(array, _IRREGULAR).to_numpy(zero_copy_only=False)
-        odd |= pc.equal(array, "").to_numpy(zero_copy_only=False)
-        counts = np.zeros(len(array), np.int64)
-        plain, counts[~odd] = self.regular(array.filter(pa.array(~odd)))
+        given = pa.array([t or "" for t in texts], pa.string())
+        odd = pc.match_substring_regex(given, _IRREGULAR).to_numpy(zero_copy_only=False)
+        odd |= pc.equal(given, "").to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(given), np.int64)
+        plain, counts[~odd] = self.regular(given.filter(pa.array(~odd)))
         odd_ids = [self.any_text(texts[i] or "") for i in np.flatnonzero(odd).tolist()]
         counts[odd] = [len(x) for x in odd_ids]
         tail = 0 if end_id is None else 1
