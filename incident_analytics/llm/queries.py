@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incident_analytics.llm import quality_lines, token_planes
+from incident_analytics.llm import packing, quality_lines, token_planes
 from incident_analytics.llm.rows import spread, table
 
 
@@ -19,6 +19,11 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    return packing.best_fit_packing(docs, byte_bpe())
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     manifest = token_planes.write_token_files(docs, byte_bpe())
@@ -26,6 +31,7 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op8_token_planes": op8_token_planes,
     "op4_quality_rules": op4_quality_rules,
 }
