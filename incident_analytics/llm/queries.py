@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incident_analytics.llm import packing, quality_lines, token_planes
+from incident_analytics.llm import minmax_dedup, packing, quality_lines, token_planes
 from incident_analytics.llm.rows import spread, table
 
 
@@ -30,9 +30,15 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_files(manifest).drop("file_row")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    return minmax_dedup.near_duplicates(docs, k=3, percent=85)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op8_token_planes": op8_token_planes,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
 }
 ORACLES = {
