@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incident_analytics.llm import minmax_dedup, packing, quality_lines, token_planes
+from incident_analytics.llm import minmax_dedup, packing, quality_lines, token_planes, warc_bundle
 from incident_analytics.llm.rows import spread, table
+from incident_analytics.session import materialize
+
+
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_bundle.write_bundles(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    records = materialize(warc_bundle.read_records(manifest), "warc-records")
+    return warc_bundle.resolve_revisits(records).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +45,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc_bundles": op2_warc_bundles,
+    "op4_quality_rules": op4_quality_rules,
     "op8_token_planes": op8_token_planes,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
-    "op4_quality_rules": op4_quality_rules,
 }
 ORACLES = {
+    "op2_warc_bundles": warc_bundle.SQL,
     "op4_quality_rules": quality_lines.SQL,
 }
