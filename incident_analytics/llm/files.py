@@ -29,7 +29,7 @@ def new_name(folder: str, suffix: str) -> str:
 def create(uri: str):
     where, path = _at(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(path, buffer_size=1 << 20) as out:
+    with where.open_output_stream(path, compression=None, buffer_size=1 << 20) as out:
         yield out
 
 
