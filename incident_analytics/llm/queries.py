@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from incident_analytics.llm import minmax_dedup, packing, quality_lines, token_planes, warc_bundle
-from incident_analytics.llm.rows import spread, table
+from incident_analytics.llm import (language_mix, minmax_dedup, packing, quality_lines, token_planes,
+                                    toxicity, warc_bundle)
+from incident_analytics.llm.rows import crc_of_id, spread, table
 from incident_analytics.session import materialize
 
 
@@ -16,6 +18,13 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(crc_of_id() % 5 != 0)
+    return (toxicity.score(docs, toxicity.learn(docs, labels))
+            .withColumn("held_out", F.coalesce(crc_of_id() % 5 == 0, F.lit(False))))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     return quality_lines.line_quality(docs, with_text=False)
@@ -32,6 +41,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs, byte_bpe())
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id")
+    model = language_mix.learn(docs.where(crc_of_id() % 4 != 2))
+    return (language_mix.identify(docs, model)
+            .withColumn("held_out", F.coalesce(crc_of_id() % 4 == 2, F.lit(False))))
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     manifest = token_planes.write_token_files(docs, byte_bpe())
@@ -46,7 +62,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op6_language_id": op6_language_id,
     "op8_token_planes": op8_token_planes,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
