@@ -7,12 +7,13 @@
 2. Documents with the same set form one class, represented by its smallest id;
    only classes go on.
 3. In every bucket all classes are compared with one pivot, not with each other.
-   Confirmed links are closed to components.  Members of a bucket that are
-   already in one component need no further comparison; a bucket with several
-   components gets another pivot, until few pairs are left, which are then
-   compared one by one.  So no link between members of a bucket is lost, and a
-   group of n copies costs about n comparisons, not n * n.
+   Members linked to the pivot are in one component with it.  For the strays,
+   which are not, set arithmetic relative to the pivot tells which other members
+   they can be linked to at all (see :func:`stray_pairs`), and those pairs are
+   compared too.  So no link between members of a bucket is lost, and a group of
+   n copies costs about n comparisons, not n * n.
 4. A comparison joins the two whole texts and counts the shingles they share.
+   Confirmed links are closed to components.
 
 Defined cases: a text with fewer words than a shingle is one shingle; a null
 text, or one without words, has an empty set and is linked with nothing; rows
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -37,8 +38,6 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 BANDS = 28
 BAND_PERMUTATIONS = 3
-REST_SHARE = 2
-MAX_PIVOT_ROUNDS = 12
 
 _MIX = np.random.default_rng(20240717).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 4096
@@ -109,91 +108,116 @@ def signatures(docs: DataFrame, k: int, bands: int, permutations: int, id_col: s
 
 
 def similarities(pairs: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Shared and united shingle counts of the whole texts of each pair ``a``, ``b`` of ids."""
+    """Compare the whole texts of each pair ``a``, ``b`` of ids.
+
+    Returns the shared and united shingle counts, how many shingles of ``b`` are
+    missing in ``a``, and the shingles that ``a`` has beyond ``b``.
+    """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")) \
         .where(F.col("id").isNotNull())
     joined = (pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
               .join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
               .select("a", "b", "text_a", "text_b"))
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType()),
-                         StructField("shared", LongType()), StructField("united", LongType())])
+    schema = StructType([*(StructField(c, LongType()) for c in ("a", "b", "shared", "united", "missing")),
+                         StructField("extra", ArrayType(LongType()))])
 
-    def counted(a: list, b: list, texts_a: list, texts_b: list) -> dict:
-        shared, united, last, known = [], [], None, None
+    def compared(a: list, b: list, texts_a: list, texts_b: list) -> dict:
+        out: dict[str, list] = {"a": a, "b": b, "shared": [], "united": [], "missing": [], "extra": []}
+        last, known = None, None
         for one, two in zip(texts_a, texts_b):
             if known is None or two != last:
                 last, known = two, shingle_set(two, k)
             own = shingle_set(one, k)
-            both = len(np.intersect1d(own, known, assume_unique=True))
-            shared.append(both)
-            united.append(len(own) + len(known) - both)
-        return {"a": a, "b": b, "shared": shared, "united": united}
-
-    return map_slices(joined, counted, schema)
-
+            extra = np.setdiff1d(own, known, assume_unique=True)
+            both = len(own) - len(extra)
+            out["shared"].append(both)
+            out["united"].append(len(known) + len(extra))
+            out["missing"].append(len(known) - both)
+            out["extra"].append(extra.view(np.int64))
+        return out
 
-def _linked(found: DataFrame, percent: int) -> DataFrame:
-    return found.where((F.col("united") > 0) & (F.col("shared") * 100 >= F.col("united") * percent)) \
-        .select("a", "b")
+    return map_slices(joined, compared, schema)
 
 
-def _several(entries: DataFrame) -> DataFrame:
-    """Entries (``key``, ``id``, ``component``) of the buckets that hold more than one component."""
-    mixed = (entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-             .where("x <> y").select("key"))
-    return entries.join(mixed, "key")
+def _is_link(percent: int) -> Column:
+    return (F.col("united") > 0) & (F.col("shared") * 100 >= F.col("united") * percent)
 
 
-def _main_component(entries: DataFrame, turn: int) -> DataFrame:
-    """Per bucket its largest component, a member of it (another one each turn), and its counts."""
-    order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("order"), "id")
-    parts = entries.groupBy("key", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    return (parts.groupBy("key").agg(
-        F.max(F.struct("n", (-F.col("component")).alias("c"), F.col("first.id").alias("pivot"))).alias("top"),
-        F.sum("n").alias("all"))
-        .select("key", (-F.col("top.c")).alias("main"), F.col("top.pivot").alias("pivot"),
-                (F.col("all") * (F.col("all") - F.col("top.n"))).alias("rest")))
+def pivot_pairs(entries: DataFrame) -> DataFrame:
+    """(``a``, ``b``) of every member of a shared bucket and the pivot of that bucket.
 
-
-def _pairs(rows: DataFrame, other: str) -> DataFrame:
-    return rows.select(F.greatest("id", other).alias("a"), F.least("id", other).alias("b")).distinct()
+    The pivot is the member that meets most others over all its buckets (ties:
+    smallest id).  In a group of copies that is the text the others derive from,
+    or one close to it, and it is the same in most buckets of the group.
+    """
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(entries.join(sizes, "key"), "buckets")
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    pivots = (shared.join(degree, "id").groupBy("key")
+              .agg((-F.max(F.struct("degree", (-F.col("id")).alias("id")))["id"]).alias("pivot")))
+    return (shared.join(pivots, "key").where("id <> pivot")
+            .select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+
+
+def stray_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a pivot's group that may be linked though one is not linked to the pivot.
+
+    ``found`` holds the comparisons with pivots.  Let a member x lack Dx of the
+    pivot's n shingles and have Ax beyond them.  Two members share at most
+    n - max(Dx, Dy) + s shingles and unite at least n + Ax + Ay - min(Dx, Dy) - s,
+    where s of their extra shingles are common.  So a link needs
+    (100 + p) * s >= p * (n + Ax + Ay - min(Dx, Dy)) - 100 * (n - max(Dx, Dy)).
+    Where the right side is not positive, the pair is compared as it is; all
+    other links must share an extra shingle, and are found by a join on those.
+    The extra shingles a member shares with most others are left out of its side
+    as far as the number it must share allows (prefix filter).  Extra shingles
+    are changes of single copies, so few members have one in common, and the
+    work follows the number of members, not of their pairs.
+    """
+    member = found.select(
+        F.col("a").alias("id"), F.col("b").alias("pivot"), (F.col("shared") + F.col("missing")).alias("n"),
+        F.col("missing").alias("lack"), F.size("extra").cast("bigint").alias("more"), "extra",
+        (~_is_link(percent)).alias("stray"))
+    short = percent * (F.col("n") + F.col("more")) - 100 * (F.col("n") - F.col("lack"))
+    member = member.withColumn("short", short).withColumn("shrink", F.col("lack") - F.col("more"))
+    groups = member.groupBy("pivot").agg(
+        F.greatest(F.max("shrink"), F.lit(0)).alias("most"),
+        F.min(F.when(F.col("stray"), F.col("short"))).alias("least")).where(F.col("least").isNotNull())
+    member = materialize(member.join(groups, "pivot"), "stray-groups")
+
+    fields = ("id", "lack", "more", "stray")
+    y = member.withColumnsRenamed({f: f"{f}_y" for f in fields})
+    both = ((F.col("id") != F.col("id_y")) & (~F.col("stray_y") | (F.col("id") < F.col("id_y"))))
+    bound = (percent * (F.col("n") + F.col("more") + F.col("more_y") - F.least("lack", "lack_y"))
+             - 100 * (F.col("n") - F.greatest("lack", "lack_y")))
+    pair = (F.greatest("id", "id_y").alias("a"), F.least("id", "id_y").alias("b"))
+
+    direct = (member.where(F.col("stray") & (F.col("short") <= percent * F.col("most")))
+              .select("pivot", "n", *fields)
+              .join(y.where(percent * F.col("shrink") >= F.col("least"))
+                    .select("pivot", *(f"{f}_y" for f in fields)), "pivot")
+              .where(both & (bound <= 0)).select(*pair))
+
+    grams = member.select("pivot", "n", "most", "short", *fields, F.explode("extra").alias("gram"))
+    often = grams.groupBy("pivot", "gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    grams = materialize(grams.join(often, ["pivot", "gram"]), "stray-shingles")
+    must_share = F.greatest(F.lit(1), F.ceil((F.col("short") - percent * F.col("most")) / (100 + percent)))
+    place = F.row_number().over(Window.partitionBy("pivot", "id").orderBy(F.desc("often"), "gram"))
+    x = grams.where("stray").withColumn("place", place).where(F.col("place") >= must_share)
+    y = grams.select("pivot", "gram", *(F.col(f).alias(f"{f}_y") for f in fields))
+    alike = (x.join(y, ["pivot", "gram"])
+             .where(both & (bound <= (100 + percent) * F.least("more", "more_y"))).select(*pair))
+    return direct.union(alike).distinct()
 
 
 def bucket_links(entries: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str,
-                 text_col: str) -> list[DataFrame]:
-    """All confirmed links ``a``, ``b`` that the shared buckets need to be closed to components."""
-    now = materialize(_several(entries.withColumn("component", F.col("id"))), "bucket-entries")
-    enough = REST_SHARE * max(1, now.count())
-    links, before = [], None
-    for turn in range(MAX_PIVOT_ROUNDS + 1):
-        top = materialize(_main_component(now, turn), "bucket-pivots")
-        rest = top.agg(F.sum("rest")).first()[0]
-        if not rest:
-            break
-        joined = now.join(top, "key").where(F.col("component") != F.col("main"))
-        last = turn and (rest <= enough or rest > 0.9 * before or turn == MAX_PIVOT_ROUNDS)
-        if last:
-            minor = joined.select("key", F.col("id").alias("minor"), F.col("component").alias("own"), "main")
-            pairs = _pairs(now.join(minor, "key").where(
-                (F.col("component") != F.col("own"))
-                & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("minor")))), "minor")
-        else:
-            pairs = _pairs(joined, "pivot")
-        found = materialize(_linked(similarities(pairs, docs, k, id_col, text_col), percent), "links")
-        links.append(found)
-        if last:
-            break
-        before = rest
-        named = now.select("id", "component").distinct()
-        edges = (found.join(named.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
-                 .join(named.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-                 .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        merged = components(edges, "merged").select(
-            F.col("node").alias("component"), F.col("component").alias("to"))
-        now = materialize(_several(now.join(merged, "component", "left").select(
-            "key", "id", F.coalesce("to", "component").alias("component"))), "bucket-entries")
-    return links
+                 text_col: str) -> DataFrame:
+    """Confirmed links ``a``, ``b`` that join all linked members of every bucket."""
+    found = materialize(similarities(pivot_pairs(entries), docs, k, id_col, text_col), "pivot-links")
+    rest = materialize(stray_pairs(found, percent), "stray-pairs")
+    more = materialize(similarities(rest, docs, k, id_col, text_col).drop("extra"), "stray-links")
+    return found.where(_is_link(percent)).select("a", "b").union(
+        more.where(_is_link(percent)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT,
@@ -212,16 +236,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     classes = materialize(classes, "classes")
     links = bucket_links(classes.select("id", F.explode("keys").alias("key")), docs, k, percent,
                          id_col, text_col)
-    known = classes.where("n > 1").select("digest", "id")
-    if links:
-        all_links = links[0]
-        for more in links[1:]:
-            all_links = all_links.union(more)
-        joined = components(all_links, "components")
-        known = (classes.select("digest", "id", "n")
-                 .join(joined.withColumnRenamed("node", "id"), "id", "left")
-                 .where((F.col("n") > 1) | F.col("component").isNotNull())
-                 .select("digest", F.coalesce("component", "id").alias("id")))
+    joined = components(links, "components")
+    known = (classes.select("digest", "id", "n")
+             .join(joined.withColumnRenamed("node", "id"), "id", "left")
+             .where((F.col("n") > 1) | F.col("component").isNotNull())
+             .select("digest", F.coalesce("component", "id").alias("id")))
     named = signed.select(id_col, "n_shingles", _never_null("digest", id_col).alias("digest"))
     return (named.join(known.withColumnRenamed("id", "__component"), "digest", "left")
             .select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("__component", id_col))
