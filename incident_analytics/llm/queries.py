@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incident_analytics.llm import (language_mix, minmax_dedup, packing, quality_lines, token_planes,
-                                    toxicity, warc_bundle)
+from incident_analytics.llm import (language_mix, license_scan, minmax_dedup, mixing, packing,
+                                    quality_lines, token_planes, toxicity, warc_bundle)
 from incident_analytics.llm.rows import crc_of_id, spread, table
 from incident_analytics.session import materialize
 
@@ -41,6 +41,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs, byte_bpe())
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id")
     model = language_mix.learn(docs.where(crc_of_id() % 4 != 2))
@@ -59,16 +63,24 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(docs, k=3, percent=85)
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scans": op5_license_scans,
     "op6_language_id": op6_language_id,
     "op8_token_planes": op8_token_planes,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {
     "op2_warc_bundles": warc_bundle.SQL,
     "op4_quality_rules": quality_lines.SQL,
+    "op5_license_scans": license_scan.SQL,
+    "op10_source_mixing": mixing.SQL,
 }
