@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incident_analytics.llm import (language_mix, license_scan, minmax_dedup, mixing, packing,
+from incident_analytics.llm import (language_mix, license_scan, minmax_dedup, mixing, nn_descent, packing,
                                     quality_lines, token_planes, toxicity, warc_bundle)
 from incident_analytics.llm.rows import crc_of_id, spread, table
 from incident_analytics.session import materialize
@@ -52,6 +52,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("held_out", F.coalesce(crc_of_id() % 4 == 2, F.lit(False))))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nn_descent.nearest_neighbours(rows, F.col("id") % 50 == 0)
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     manifest = token_planes.write_token_files(docs, byte_bpe())
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scans": op5_license_scans,
     "op6_language_id": op6_language_id,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_planes": op8_token_planes,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
