@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
-from incident_analytics.llm.rows import map_slices
+from incident_analytics.llm.rows import carry, map_slices
 
 CELLS = 1 << 15
 ORDERS = (2, 3, 4)
@@ -190,8 +190,12 @@ def mixtures(model: Model, texts: list[list[bytes]]) -> list[tuple[list[str], li
     return found
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``lang_pred``, ``score`` (share of that language), and the whole mixture."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+             with_row: bool = False) -> DataFrame:
+    """Per row: id, ``lang_pred``, ``score`` (share of that language), and the whole mixture.
+
+    ``with_row`` adds the whole row as the struct ``__row``.
+    """
     schema = StructType([docs.select(id_col).schema[0], StructField("lang_pred", StringType()),
                          StructField("score", DoubleType()),
                          StructField("langs", ArrayType(StringType())),
@@ -207,4 +211,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 "score": [min(1.0, b[0]) if b else 0.0 for _, b in out],
                 "langs": [a for a, _ in out], "shares": [b for _, b in out]}
 
-    return map_slices(docs.select(id_col, text_col), predicted, schema)
+    return map_slices(docs.select(id_col, text_col, *[carry(docs)] * with_row), predicted, schema)

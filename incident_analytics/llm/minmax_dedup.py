@@ -248,6 +248,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
 
 
+def one_per_group(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id :func:`near_duplicates` keeps, one row per id.
+
+    Of rows that share an id the one with the smallest text stays; rows without an
+    id have no group and all stay.
+    """
+    gone = judged.where(~F.col("kept")).select(id_col).distinct()
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    named = (docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
+             .withColumn("__first", first).where("__first = 1").drop("__first"))
+    return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+
 def _never_null(digest: str, id_col: str) -> Column:
     """The digest, or for empty sets the id's hash, so that no join key is null and shared by many."""
     return F.coalesce(digest, F.xxhash64(id_col).cast("string").cast("binary"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from incident_analytics.llm.rows import carry
 from incident_analytics.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -46,13 +47,15 @@ def topic_of(text: Column) -> Column:
     return found.otherwise(OTHER_TOPIC)
 
 
-def weighed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weighed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            with_row: bool = False) -> DataFrame:
     """Id, the three dimensions and the words of each document (1 at least)."""
     text = F.coalesce(text_col, F.lit(""))
     return docs.select(
         id_col, F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"), topic_of(text).alias("topic"),
-        F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("bigint").alias("tokens"))
+        F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("bigint").alias("tokens"),
+        *[carry(docs)] * with_row)
 
 
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
@@ -91,9 +94,13 @@ def draw(id_col: str, salt: str = SALT) -> Column:
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
-                rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, dimensions, tokens, ``probability`` and ``sampled``."""
-    rows = weighed(docs, id_col, text_col)
+                rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text",
+                with_row: bool = False) -> DataFrame:
+    """Per row of ``docs``: id, dimensions, tokens, ``probability`` and ``sampled``.
+
+    ``with_row`` adds the whole row as the struct ``__row``.
+    """
+    rows = weighed(docs, id_col, text_col, with_row)
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-sums")
     if targets is None:
         targets = {d: tempered(cells, d, TEMPER[d]) for d in DIMENSIONS}

@@ -263,7 +263,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUP
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     numbered = numbered_by_length(pieces, max(histogram.values(), default=0), id_col)
-    return place(numbered, plan_runs(histogram, capacity, groups, small))
+    placed = place(numbered, plan_runs(histogram, capacity, groups, small))
+    return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY,

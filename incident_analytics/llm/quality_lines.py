@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from incident_analytics.llm.rows import WHITESPACE, map_slices
+from incident_analytics.llm.rows import WHITESPACE, carry, map_slices
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -126,8 +126,11 @@ def judge(text: str | None) -> tuple:
 
 
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 with_text: bool = True) -> DataFrame:
-    """The id, the counts, the verdict and (``with_text``) the cleaned text of every row of ``docs``."""
+                 with_text: bool = True, with_row: bool = False) -> DataFrame:
+    """The id, the counts, the verdict and (``with_text``) the cleaned text of every row of ``docs``.
+
+    ``with_row`` adds the whole row as the struct ``__row``.
+    """
     fields = [f for f in SCHEMA.fields if with_text or f.name != "clean_text"]
     schema = StructType([docs.select(F.col(id_col)).schema[0], *fields])
 
@@ -136,7 +139,7 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         columns = dict(zip(SCHEMA.names, zip(*rows))) if rows else {n: [] for n in SCHEMA.names}
         return {id_col: ids, **columns}
 
-    return map_slices(docs.select(id_col, text_col), judged, schema)
+    return map_slices(docs.select(id_col, text_col, *[carry(docs)] * with_row), judged, schema)
 
 
 SQL = rf"""

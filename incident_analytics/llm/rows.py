@@ -19,26 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+CARRIED = "__row"
+
+
 def map_slices(df: DataFrame, fn: Callable[..., dict[str, list]], schema: StructType,
                rows: int = SLICE) -> DataFrame:
     """Apply ``fn`` to slices of ``rows`` rows, one list per column of ``df``, in Arrow batches.
 
     ``fn`` returns a dict of equally long lists or numpy arrays, one per field of
     ``schema``.  A task holds one Arrow batch and the Python values of one slice.
+    A last column ``__row`` (see :func:`carry`) is handed through untouched; then
+    ``fn`` must return a row per row.
     """
+    carried = df.columns[-1] == CARRIED
+    if carried:
+        schema = StructType([*schema.fields, df.schema[CARRIED]])
     arrow = to_arrow_schema(schema)
+    width = len(df.columns) - carried
 
     def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+                out = fn(*(part.column(i).to_pylist() for i in range(width)))
+                columns = [pa.array(out[f.name], type=f.type) for f in list(arrow)[:len(arrow) - carried]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                    columns + [part.column(i) for i in range(width, part.num_columns)], schema=arrow)
 
     return df.mapInArrow(batches, schema)
 
 
+def carry(df: DataFrame) -> Column:
+    """The whole row as one struct, so that no column of it can clash with results."""
+    return F.struct(*df.columns).alias(CARRIED)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan with fewer splits than the session has cores; else leave it.
 
