@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from incident_analytics.llm.components import components
-from incident_analytics.llm.rows import map_slices
+from incident_analytics.llm.rows import CARRIED, carry, map_slices
 from incident_analytics.session import materialize
 
 SHINGLE_WORDS = 5
@@ -256,10 +256,11 @@ def one_per_group(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id",
     id have no group and all stay.
     """
     gone = judged.where(~F.col("kept")).select(id_col).distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    named = (docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
-             .withColumn("__first", first).where("__first = 1").drop("__first"))
-    return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carry(docs))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    named = (rows.where(F.col("id").isNotNull()).join(gone.withColumnRenamed(id_col, "id"), "id", "left_anti")
+             .withColumn("place", first).where("place = 1"))
+    return named.select(f"{CARRIED}.*").union(docs.where(F.col(id_col).isNull()))
 
 
 def _never_null(digest: str, id_col: str) -> Column:
