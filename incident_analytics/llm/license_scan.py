@@ -6,7 +6,9 @@ compared with every template as a set of word bigrams:
 dice = 2 * shared / (unit + template).  A dice of at least t needs set sizes
 whose ratio lies within t / (2 - t) and its inverse, so units outside the sizes
 of all templates are dropped before their bigrams are made, and a unit meets
-only the templates within its bounds.
+only the templates within its bounds.  Since a match shares most bigrams of a
+template, it must also hold one of a few words chosen from the templates; texts
+and lines without any are dropped before they are normalised.
 
 Defined cases: null and empty texts, and units of one word, match nothing and
 the text gets an empty list; equal coefficients go to the alphabetically first
@@ -58,6 +60,49 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def signatures(templates: list[list[str]], percent: int) -> list[tuple[str, ...]]:
+    """Word groups of which every text that matches a template must contain one whole.
+
+    A match shares at least percent / (200 - percent) of the template's bigrams,
+    so it holds one of any chosen larger rest.  Words are chosen, the one that
+    serves most bigrams first (long ones weigh more, as short ones occur
+    everywhere), until enough bigrams of every template hold a chosen word.  A
+    short word stands for its bigrams, each a group of two words.
+    """
+    chosen: set[str] = set()
+    groups: set[tuple[str, ...]] = set()
+
+    def missing(grams: list[str]) -> int:
+        shared = -(-len(grams) * percent // (200 - percent))
+        return len(grams) - shared + 1 - sum(not chosen.isdisjoint(g.split()) for g in grams)
+
+    while any(missing(g) > 0 for g in templates):
+        gain: dict[str, float] = {}
+        for grams in templates:
+            if missing(grams) > 0:
+                for gram in grams:
+                    if chosen.isdisjoint(gram.split()):
+                        for word in set(gram.split()):
+                            gain[word] = gain.get(word, 0) + min(len(word), 8) ** 5
+        word = max(sorted(gain), key=gain.get)
+        chosen.add(word)
+        groups |= {(word,)} if len(word) > 3 else {
+            tuple(g.split()) for grams in templates for g in grams if word in g.split()}
+    return sorted(groups)
+
+
+def _has_signature(text: Column, groups: list[tuple[str, ...]]) -> Column:
+    """Does the lower-cased text contain a whole group?  Never false for a text that matches."""
+    lowered = F.lower(text)
+    found = F.lit(False)
+    for group in groups:
+        whole = F.lit(True)
+        for word in group:
+            whole = whole & F.contains(lowered, F.lit(word))
+        found = found | whole
+    return found
+
+
 def _normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
@@ -83,10 +128,12 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         [(name, len(grams), g) for name, grams in known for g in grams],
         "license string, n_template int, gram string"))
     text = F.col(text_col)
+    groups = signatures([grams for _, grams in known], percent)
     units = (docs.where(F.col(id_col).isNotNull() & text.isNotNull())
+             .where(_has_signature(text, groups))
              .select(F.col(id_col).alias("id"), F.posexplode(F.array_append(F.split(text, "\n"), text))
                      .alias("unit", "raw"))
-             .where(F.octet_length("raw") >= 3)
+             .where(_has_signature(F.col("raw"), groups))
              .select("id", "unit", F.split(_normalised(F.col("raw")), " ").alias("words"))
              # a unit of n words has at most n - 1 bigrams, so short ones are out before any is made
              .where((F.size("words") >= 2) & (F.size("words") - 1 >= low))
