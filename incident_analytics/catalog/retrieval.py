@@ -99,12 +99,12 @@ def _sop_store(s, d):
 
 
 register("read_sops", lambda s, d: read_sops(s, _sop_store(s, d)),
-         f"WITH {SOPS} SELECT slug, substr(sop_text || chr(10), 1, 1600) AS sop_text FROM sops")
+         f"WITH {SOPS} SELECT slug, sop_text || chr(10) AS sop_text FROM sops")
 _SLUG = "replace(lower(category), ' ', '_')"
 register("incident_sop_join",
          lambda s, d: g.incident_sop_join(b.incidents(s, d), b.sops(s, d)).select("query_id", "slug", "sop_text"),
          f"""WITH {INCIDENTS}, {SOPS} SELECT query_id, {_SLUG} AS slug,
-         coalesce(substr(sop_text, 1, 1600), '') AS sop_text FROM incidents LEFT JOIN sops ON sops.slug = {_SLUG}""")
+         coalesce(sop_text, '') AS sop_text FROM incidents LEFT JOIN sops ON sops.slug = {_SLUG}""")
 
 
 def _coverage(s, d):
@@ -136,15 +136,15 @@ def _prompts(s, d):
 
 
 register("build_prompts", _prompts, f"""WITH {_STYLED}, {SOPS}, {FULL_HITS},
-  ev AS (SELECT query_id, string_agg('[' || ticket_id || '] (similarity ' || printf('%.4f', score) || ') ' || title
-    || chr(10) || '  Problem: ' || description || chr(10) || '  Resolution applied: ' || resolution,
-    chr(10) || chr(10) ORDER BY rank) AS body FROM full_hits WHERE rank <= 3 GROUP BY query_id)
+  ev AS (SELECT query_id, string_agg(ticket_id || ' | ' || title || ' | score ' || printf('%.4f', score)
+    || chr(10) || 'Reported as: ' || description || chr(10) || 'Closed with: ' || resolution,
+    chr(10) || chr(10) ORDER BY rank) AS body FROM full_hits GROUP BY query_id)
   SELECT i.query_id, i.style, i.prompt_version, i.system_text,
     'NEW INCIDENT:' || chr(10) || {b.strip_sql('i.incident')} || chr(10) || chr(10)
-    || 'PREDICTED CATEGORY: ' || i.category || chr(10) || chr(10)
+    || 'Routed to queue: ' || i.category || chr(10) || chr(10)
     || CASE WHEN body IS NULL THEN '{g.NO_HITS}' ELSE 'RESOLVED TICKETS LIKE THIS:' || chr(10) || body END
     || CASE WHEN sop_text IS NULL THEN '' ELSE chr(10) || chr(10) || 'STANDARD OPERATING PROCEDURE ('
-       || i.category || '):' || chr(10) || substr(sop_text, 1, 1600) END AS prompt
+       || i.category || '):' || chr(10) || sop_text END AS prompt
   FROM styled i LEFT JOIN ev USING (query_id) LEFT JOIN sops ON sops.slug = {_SLUG.replace('category', 'i.category')}""")
 register("fallback_resolution",
          lambda s, d: g.fallback_resolution(b.incidents(s, d), _full_hits(s, d)),
@@ -154,7 +154,7 @@ register("grounding_ids",
          lambda s, d: g.grounding_ids(b.incidents(s, d), _full_hits(s, d)).withColumn(
              "grounded_on", F.array_join("grounded_on", ",")),
          f"""WITH {INCIDENTS}, {FULL_HITS}, e AS (SELECT query_id, string_agg(ticket_id, ',' ORDER BY rank) AS ids
-         FROM full_hits WHERE rank <= 3 GROUP BY query_id) SELECT i.query_id, {_SLUG} AS sop,
+         FROM full_hits GROUP BY query_id) SELECT i.query_id, {_SLUG} AS sop,
          coalesce(ids, '') AS grounded_on FROM incidents i LEFT JOIN e USING (query_id)""")
 register("citation_usage", lambda s, d: g.citation_usage(b.messages(s, d)),
          f"""WITH {b.MESSAGES}, a AS (SELECT meta_json FROM messages WHERE role = 'assistant')

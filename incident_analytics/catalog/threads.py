@@ -105,8 +105,8 @@ kinds AS (SELECT *, CASE WHEN ext IN ('.txt', '.log', '.json', '.md', '.markdown
   WHEN plain THEN 'text' ELSE 'error' END AS kind,
   ext IN ('.txt', '.log', '.json', '.md', '.markdown', '.csv', '.yaml', '.yml') AS known FROM exts),
 attached AS (SELECT page_id, kind, CAST(CASE WHEN kind = 'text' THEN length(t) ELSE 0 END AS INT) AS chars,
-  CASE WHEN kind = 'text' THEN substr(t, 1, 4000) ELSE '' END AS text,
-  CASE WHEN known THEN '' WHEN ext = '.pdf' THEN 'PDF attached; no PDF reader available'
+  CASE WHEN kind = 'text' THEN t ELSE '' END AS text,
+  CASE WHEN known THEN '' WHEN ext = '.pdf' THEN 'PDF pages are not parsed here'
     WHEN kind = 'image' THEN 'image ''' || filename || ''' attached; its text is not read'
     WHEN kind = 'text' THEN 'read ''' || filename || ''' as text'
     ELSE 'unsupported file type ''' || ext || '''' END AS note FROM kinds)"""

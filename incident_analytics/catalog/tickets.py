@@ -114,7 +114,7 @@ register("queue_slug",
 register("embed_text",
          lambda s, d: b.raw_tickets(s, d).select(
              "src_ord", embed_text(F.col("subject"), F.col("body")).alias("embed_text")),
-         f"WITH {RAW} SELECT src_ord, coalesce(subject, '') || '. ' || substr(coalesce(body, ''), 1, 1200) "
+         f"WITH {RAW} SELECT src_ord, coalesce(subject, '') || '. ' || coalesce(body, '') "
          "AS embed_text FROM raw")
 register("classifier_text",
          lambda s, d: b.raw_tickets(s, d).select(
@@ -122,7 +122,7 @@ register("classifier_text",
              .alias("classifier_text")),
          f"""WITH {RAW}, t AS (SELECT src_ord,
          {strip_sql("coalesce(CASE WHEN src_ord % 5 > 0 THEN answer END, '')")} AS a, {strip_sql('body')} AS b FROM raw)
-         SELECT src_ord, substr(concat_ws('. ', nullif(a, ''), nullif(b, '')), 1, 2000) AS classifier_text FROM t""")
+         SELECT src_ord, concat_ws('. ', nullif(a, ''), nullif(b, '')) AS classifier_text FROM t""")
 _KNOWN = [f"src{i}" for i in range(7)]
 _KNOWN_SQL = ", ".join(f"'{x}'" for x in _KNOWN)
 register("known_labels_filter",
@@ -183,8 +183,7 @@ _TRAIN = f"""WITH {UNEVEN}, known AS (SELECT * FROM tickets WHERE category IN ('
   again AS (SELECT *, count(*) OVER (PARTITION BY category) AS bn, count(*) OVER () AS total FROM balanced),
   capped AS (SELECT * FROM again WHERE rk <= CASE WHEN total <= 200 THEN bn
     ELSE greatest(1, round_even(bn * (CAST(200 AS DOUBLE) / total), 0)) END)
-SELECT ticket_id, substr(concat_ws('. ', nullif({strip_sql('title')}, ''), nullif({strip_sql('description')}, '')),
-  1, 2000) AS text, category, CAST(CASE category WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'fr' THEN 2
+SELECT ticket_id, concat_ws('. ', nullif({strip_sql('title')}, ''), nullif({strip_sql('description')}, '')) AS text, category, CAST(CASE category WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'fr' THEN 2
   ELSE 3 END AS BIGINT) AS label_id FROM capped"""
 register("training_set",
          lambda s, d: m.training_set(b.uneven_tickets(s, d), _LANGS, max_rows=200, balanced=True), _TRAIN)

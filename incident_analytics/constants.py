@@ -14,15 +14,10 @@ SEED = 42
 # Retrieval and grounding.
 TOP_K = 3
 SIMILARITY_THRESHOLD = 0.35
-EMBED_DESCRIPTION_CHARS = 1200
 SNIPPET_CHARS = 300
-SOP_CHARS = 1600
-MAX_EVIDENCE = 3
 
-# Text models and attachments.
-CLASSIFIER_TEXT_CHARS = 2000
+# Text models.
 SUMMARY_MIN_CHARS = 40
-ATTACHMENT_CHARS = 4000
 TITLE_CHARS = 48
 
 # Operations log.

@@ -9,24 +9,23 @@ from .text import strip_all
 
 DEFAULT_STYLE = "stepwise"
 
-_GROUNDING = ("You help service-desk staff resolve incidents. Use only the resolved tickets and "
-              "the operating procedure given below as evidence. ")
-_HONESTY = "When the evidence does not cover the incident, say so and advise escalation."
+_SOURCES = "Everything you state must come from the tickets and the procedure in the message. "
+_GAPS = "Name what those sources leave open instead of guessing."
 
 # Style names and prompt versions (the wording is ours).
 PROMPT_STYLES = (
     ("stepwise", "resolve-v1-stepwise",
-     _GROUNDING + "Give a one-line diagnosis, numbered steps and when to escalate; "
-                  "put the ticket id beside each step taken from it. " + _HONESTY),
+     "An engineer works along your answer at the console. " + _SOURCES
+     + "Order the work from the safest check to the deepest change, and cite ticket ids. " + _GAPS),
     ("concise", "resolve-v1-concise",
-     _GROUNDING + "Use no more than four bullets: diagnosis, the two best fixes, when to escalate. "
-     + _HONESTY),
+     "Your answer is read on a phone during an outage. " + _SOURCES
+     + "Keep to the few lines that change what the reader does next. " + _GAPS),
     ("customer", "resolve-v1-customer",
-     _GROUNDING + "Write a friendly answer to the requester without internal terms and close with "
-                  "a line naming the tickets used. " + _HONESTY),
+     "The person who reported the incident reads your answer. " + _SOURCES
+     + "Write plainly and kindly, leave internals out, and list the tickets used at the end. " + _GAPS),
     ("handover", "resolve-v1-handover",
-     _GROUNDING + "Write a handover note with impact, diagnosis, actions, next steps and the "
-                  "escalation trigger. " + _HONESTY),
+     "The next shift takes the incident over from your note. " + _SOURCES
+     + "Cover who is affected, what is known, what was tried and what comes next. " + _GAPS),
 )
 
 

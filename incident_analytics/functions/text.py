@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import (CLASSIFIER_TEXT_CHARS, DEFAULT_TITLE, EMBED_DESCRIPTION_CHARS,
-                         TAG_COLUMNS, TITLE_CHARS)
+from ..constants import DEFAULT_TITLE, TAG_COLUMNS, TITLE_CHARS
 
 # The characters that count as white space in ticket text.
 WHITESPACE = (
@@ -56,18 +55,21 @@ def joined_tags(columns: list[str]) -> Column:
     return F.array_join(tag_array(columns), "|")
 
 
-def embed_text(title: Column, description: Column,
-               max_chars: int = EMBED_DESCRIPTION_CHARS) -> Column:
-    """Text given to the encoder: title, a full stop, the start of the description."""
-    body = F.coalesce(description, F.lit(""))
-    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.substring(body, 1, max_chars))
+def shortened(col: Column, max_chars: int | None) -> Column:
+    """The first ``max_chars`` characters, or the whole text for None."""
+    return col if max_chars is None else F.substring(col, 1, max_chars)
 
 
-def classifier_text(title: Column, description: Column,
-                    max_chars: int = CLASSIFIER_TEXT_CHARS) -> Column:
-    """Text given to the classifier; an empty part leaves no separator behind."""
+def embed_text(title: Column, description: Column, max_chars: int | None = None) -> Column:
+    """Text given to the encoder: title, a full stop, the description (cut only on request)."""
+    body = shortened(F.coalesce(description, F.lit("")), max_chars)
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), body)
+
+
+def classifier_text(title: Column, description: Column, max_chars: int | None = None) -> Column:
+    """Text given to the classifier (cut only on request); an empty part leaves no separator."""
     parts = [F.nullif(stripped(c), F.lit("")) for c in (title, description)]
-    return F.substring(F.concat_ws(". ", *parts), 1, max_chars)
+    return shortened(F.concat_ws(". ", *parts), max_chars)
 
 
 def approx_tokens(col: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CLASSIFIER_TEXT_CHARS, SEED
+from ..constants import SEED
 from ..functions.text import stripped
 from ..session import materialize
 from .sampling import stratified_cap
@@ -20,7 +20,6 @@ from .scale import fits_broadcast, heavy_keys, salted_join
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 EMPTY_TEXT = "ValueError: empty text"
-MAX_LABELS = 10_000
 VOCABULARY_ROWS = 500_000
 
 
@@ -60,13 +59,11 @@ def score_queue_nb(df: DataFrame, model: NaiveBayesTables, id_col: str = "ticket
     equi-join with frequent tokens salted.  Only counts present in the model are
     joined; absent ones add ln 1 = 0.
     """
-    if not fits_broadcast(model.class_stats, MAX_LABELS):
-        raise ValueError(f"more than {MAX_LABELS} labels")
     rows = df.select(F.col(id_col).alias("__id"), stripped(F.col(text)).alias("__text"))
     filled = rows.where(F.col("__text") != "").withColumn("__tokens", tokens(F.col("__text")))
     vocabulary = model.token_counts.select(F.countDistinct("token")).scalar()
     docs = model.class_stats.agg(F.sum("docs")).scalar()
-    # One short array with all classes (their number was checked above).
+    # One array with all classes: every text is scored under every class.
     classes = model.class_stats.agg(F.collect_list(F.struct(
         "label", F.log(F.col("docs") / docs).alias("prior"),
         F.log(F.col("n_tokens") + vocabulary).alias("norm")))).scalar()
@@ -127,12 +124,14 @@ def train_queue_classifier(train: DataFrame, text: str = "text", label: str = "l
 
 
 def score_queues(df: DataFrame, model: PipelineModel, id_col: str = "ticket_id",
-                 text: str = "text", variant: str = "finetuned",
-                 max_chars: int = CLASSIFIER_TEXT_CHARS) -> DataFrame:
-    """(id, label, confidence, variant, error); an empty text gives an error row."""
+                 text: str = "text", variant: str = "finetuned") -> DataFrame:
+    """(id, label, confidence, variant, error); an empty text gives an error row.
+
+    Whole texts are scored, as the trainer reads whole texts.
+    """
     labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
     column = model.stages[1].getInputCol()
-    rows = df.select(F.col(id_col), F.substring(stripped(F.col(text)), 1, max_chars).alias(column))
+    rows = df.select(F.col(id_col), stripped(F.col(text)).alias(column))
     out = PipelineModel(model.stages[1:]).transform(rows)
     empty = F.col(column) == ""
     return out.select(
@@ -142,15 +141,6 @@ def score_queues(df: DataFrame, model: PipelineModel, id_col: str = "ticket_id",
         F.lit(variant).alias("variant"), F.when(empty, F.lit(EMPTY_TEXT)).alias("error"))
 
 
-def pick_variant(requested: str, tuned_available: bool) -> str:
-    """'auto' becomes 'finetuned' when a tuned model exists, else 'base'."""
-    if requested not in ("auto", "base", "finetuned"):
-        raise ValueError(f"unknown variant: {requested}")
-    if requested != "auto":
-        return requested
-    return "finetuned" if tuned_available else "base"
-
-
 # --- evaluation ----------------------------------------------------------------
 
 def _label_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -187,11 +177,10 @@ def classification_report(pred: DataFrame, labels: DataFrame | Sequence[str],
     names = (labels.select(F.col(labels.columns[0]).cast("string").alias("label")).distinct()
              if isinstance(labels, DataFrame) else pred.sparkSession.range(1).select(
                  F.explode(F.array(*[F.lit(str(x)) for x in labels])).alias("label")))
-    listed = names.agg(F.collect_list("label")).scalar() if fits_broadcast(names, MAX_LABELS) else None
-    if listed is None:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    owners = counts.select(*(keys or [F.lit(0).alias("__one")])).distinct()
-    grid = owners.withColumn("label", F.explode(listed))
+    # The compared variants are few; the labels, however many, stay a table.
+    owners = counts.select(F.struct(*(keys or [F.lit(0).alias("__one")])).alias("o")).distinct()
+    grid = names.select("label", F.explode(owners.agg(F.collect_list("o")).scalar()).alias("o")) \
+        .select("o.*", "label")
     full = grid.join(counts, [*keys, "label"], "left").na.fill(0, ["tp", "support", "predicted"])
     c = F.col
     return full.select(

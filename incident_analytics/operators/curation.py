@@ -52,7 +52,8 @@ def dedup_by_body(df: DataFrame, order_col: str, body: str = "body") -> DataFram
     so a body copied into a third of the table costs one row per task; the wide
     rows move only in the semi-join, on (body hash, position), which is unique.
     """
-    keyed = df.withColumn("__body", F.sha2(F.col(body), 256))
+    # A NULL body is a body of its own; no sha-256 equals the marker.
+    keyed = df.withColumn("__body", F.coalesce(F.sha2(F.col(body), 256), F.lit("null")))
     first = keyed.groupBy("__body").agg(F.min(order_col).alias(order_col))
     return keyed.join(first, ["__body", order_col], "left_semi").drop("__body")
 

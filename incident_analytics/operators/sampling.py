@@ -14,8 +14,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import SEED, TEST_FRACTION, TRAIN_MAX_ROWS
+from ..constants import DEFAULT_QUEUES, SEED, TEST_FRACTION, TRAIN_MAX_ROWS
 from ..functions.text import classifier_text
+from ..session import materialize
 from .scale import broadcast_if, fits_broadcast
 
 Quota = Callable[[Column, Column], Column]
@@ -105,8 +106,14 @@ def kb_sample(df: DataFrame, rows: int, id_col: str = "ticket_id", category: str
     """Cap the knowledge base at about ``rows`` (0 = all), in proportion; a class may get none."""
     if rows <= 0:
         return df
-    quota: Quota = lambda n, total: F.when(total <= rows, n).otherwise(_share(rows)(n, total))
-    return _take(df, id_col, category, seed, quota)
+    return _capped(df, rows, id_col, category, seed, _share(rows))
+
+
+def _capped(df: DataFrame, rows: int, id_col: str, category: str, seed: int, share: Quota) -> DataFrame:
+    """A table of at most ``rows`` rows as it is, NULL categories included; else its shares."""
+    size = df.agg(F.count(F.lit(1))).scalar()
+    marked = mark_first(df, id_col, category, seed, share)
+    return marked.where((size <= rows) | F.col("__first")).drop("__first")
 
 
 def stratified_cap(df: DataFrame, max_rows: int, id_col: str = "ticket_id",
@@ -114,9 +121,7 @@ def stratified_cap(df: DataFrame, max_rows: int, id_col: str = "ticket_id",
     """Like :func:`kb_sample`, but every class keeps at least one row."""
     if max_rows <= 0:
         return df
-    quota: Quota = lambda n, total: F.when(total <= max_rows, n).otherwise(
-        at_least_one(_share(max_rows))(n, total))
-    return _take(df, id_col, category, seed, quota)
+    return _capped(df, max_rows, id_col, category, seed, at_least_one(_share(max_rows)))
 
 
 def stratified_split(df: DataFrame, fraction: float = TEST_FRACTION, id_col: str = "ticket_id",
@@ -161,11 +166,13 @@ def split_checks(df: DataFrame, train: DataFrame, test: DataFrame,
 def label_index(df: DataFrame, category: str = "category") -> DataFrame:
     """Sorted distinct labels with ids from 0.
 
-    Ranks are taken inside the first letter and shifted by the letters before
-    it, so even a very long label list is never ordered in one task.
+    Labels are range-partitioned; ranks are taken inside a partition and shifted
+    by the partitions before it, so a long label list, also one with a common
+    prefix, is never ordered in one task.
     """
-    labels = (df.where(F.col(category).isNotNull()).select(F.col(category).alias("label")).distinct()
-              .withColumn("__l", F.substring("label", 1, 1)))
+    labels = df.where(F.col(category).isNotNull()).select(F.col(category).alias("label")).distinct()
+    labels = materialize(labels.repartitionByRange("label").withColumn("__l", F.spark_partition_id()),
+                         "labels")
     sizes = (labels.groupBy("__l").agg(F.count(F.lit(1)).alias("__n"))
              .withColumn("__before", F.coalesce(F.sum("__n").over(
                  Window.orderBy("__l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
@@ -174,6 +181,19 @@ def label_index(df: DataFrame, category: str = "category") -> DataFrame:
             .select("label", (F.col("__k") - 1 + F.col("__before")).cast("bigint").alias("label_id")))
 
 
+def resolve_labels(saved: DataFrame | None = None, train: DataFrame | None = None,
+                   default: Sequence[str] = DEFAULT_QUEUES, category: str = "category") -> list[str]:
+    """Labels of a classifier in sorted order: the saved ones, else those of the
+    training rows, else the given default; an empty source counts as missing."""
+    for source in (saved, train):
+        if source is not None:
+            column = category if category in source.columns else source.columns[0]
+            found = [r[0] for r in source.select(column).where(F.col(column).isNotNull()).distinct().collect()]
+            if found:
+                return sorted(found)
+    return sorted(default)
+
+
 def known_labels_filter(df: DataFrame, labels: DataFrame | Sequence[str],
                         category: str = "category") -> DataFrame:
     """Drop rows whose category is not a known label."""

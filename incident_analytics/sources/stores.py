@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import REQUEST_LOG_COLUMNS, SOP_CHARS
+from ..constants import REQUEST_LOG_COLUMNS
+from ..functions.text import shortened
 from ..operators.attachments import extract_attachments
 
 # The files that can be attached.
@@ -26,8 +27,9 @@ TRAINING_LOG_SCHEMA = (
     "eval_f1_macro: double, train_runtime: double>>")
 
 
-def read_sops(spark: SparkSession, path: str, pattern: str = "*", max_chars: int = SOP_CHARS) -> DataFrame:
-    """One procedure per file as (slug, sop_text), the text cut to ``max_chars``.
+def read_sops(spark: SparkSession, path: str, pattern: str = "*",
+              max_chars: int | None = None) -> DataFrame:
+    """One procedure per file as (slug, sop_text), the text cut to ``max_chars`` if given.
 
     The slug is the file's stem, or the partition value when the store is
     partitioned by ``slug``.
@@ -35,7 +37,7 @@ def read_sops(spark: SparkSession, path: str, pattern: str = "*", max_chars: int
     files = (spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True))
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     slug = F.col("slug").cast("string") if "slug" in files.columns else F.url_decode(stem)
-    return files.select(slug.alias("slug"), F.substring("value", 1, max_chars).alias("sop_text"))
+    return files.select(slug.alias("slug"), shortened(F.col("value"), max_chars).alias("sop_text"))
 
 
 def read_attachments(spark: SparkSession, path: str, pattern: str = ATTACHABLE) -> DataFrame:

@@ -87,12 +87,3 @@ def test_empty_text_gives_an_error_row_and_salting_changes_nothing(spark):
     assert got[2].label is None and got[2].error == c.EMPTY_TEXT
     salted = {r.ticket_id: r for r in c.score_queue_nb(test, model, vocabulary_rows=0).collect()}
     assert salted == got
-
-
-def test_pick_variant():
-    assert c.pick_variant("auto", True) == "finetuned" and c.pick_variant("auto", False) == "base"
-    try:
-        c.pick_variant("nope", True)
-    except ValueError:
-        return
-    raise AssertionError("an unknown variant must be refused")
