@@ -55,7 +55,7 @@ STAGES = [
     ("mixing sources to target weights", target_mix),
     ("best-fit packing", packed),
 ]
-#: The tokenizer and the learned language model are beyond SQL; tests hold run() against a plain version.
+#: The tokenizer and the learned language model are beyond SQL; tests run the stages on small documents.
 ORACLE_SQL = None
 
 
