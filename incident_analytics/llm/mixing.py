@@ -1,7 +1,8 @@
 """Mix sources to target weights: rake token weights to marginals, then sample documents.
 
-1. Documents are summed to cells of (source, language, topic); from here on the
-   work depends on the number of cells, not of documents.
+1. Topic and words of every document are found in one pass over the texts and
+   written; documents are summed to cells of (source, language, topic), and from
+   here on the work depends on the number of cells, not of documents.
 2. Iterative proportional fitting scales the cells to the target shares of one
    dimension after the other, for a number of rounds.
 3. The ratio of fitted to given tokens of a cell, divided by the largest ratio,
@@ -21,10 +22,13 @@ their documents; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from incident_analytics.llm.rows import carry
+from incident_analytics.llm.rows import carry, map_slices
 from incident_analytics.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -32,30 +36,37 @@ TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS = 10
 SALT = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
-TOPICS = (("legal", "(?i)licen[sc]e|copyright|all rights reserved"),
-          ("contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"),
-          ("listing", r" \| [^|\n]* \| "))
+#: Name, pattern, and lower-case strings of which a text that matches the pattern holds one.
+TOPICS = (("legal", "(?i)licen[sc]e|copyright|all rights reserved", ("licen", "copyright", "all rights reserved")),
+          ("contact", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]{2,}", ("@",)),
+          ("listing", r" \| [^|\n]* \| ", (" | ",)))
 OTHER_TOPIC = "prose"
 
 
-def topic_of(text: Column) -> Column:
-    """The first topic whose pattern occurs in the text."""
-    (first, pattern), *rest = TOPICS
-    found = F.when(text.rlike(pattern), first)
-    for name, pattern in rest:
-        found = found.when(text.rlike(pattern), name)
-    return found.otherwise(OTHER_TOPIC)
+def topics_and_words(texts: list[str | None]) -> dict[str, list]:
+    """The first topic whose pattern occurs in each text, and its words (1 at least)."""
+    rules = [(name, re.compile(pattern.encode()), [n.encode() for n in needles]) for name, pattern, needles in TOPICS]
+    topics, tokens = [], []
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        lowered = raw.lower()
+        topics.append(next((name for name, pattern, needles in rules
+                            if any(n in lowered for n in needles) and pattern.search(raw)), OTHER_TOPIC))
+        tokens.append(max(len(raw.split()), 1))
+    return {"topic": topics, "tokens": tokens}
 
 
 def weighed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             with_row: bool = False) -> DataFrame:
-    """Id, the three dimensions and the words of each document (1 at least)."""
-    text = F.coalesce(text_col, F.lit(""))
-    return docs.select(
-        id_col, F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce("lang", F.lit("")).alias("lang"), topic_of(text).alias("topic"),
-        F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("bigint").alias("tokens"),
-        *[carry(docs)] * with_row)
+    """Id, the three dimensions and the words of each document; the texts are read once, in Arrow batches."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("source", F.lit("")).alias("source"),
+                       F.coalesce("lang", F.lit("")).alias("lang"), F.col(text_col).alias("text"),
+                       *[carry(docs)] * with_row)
+    schema = StructType([rows.schema["id"], rows.schema["source"], rows.schema["lang"],
+                         StructField("topic", StringType()), StructField("tokens", LongType())])
+    return map_slices(rows, lambda ids, sources, langs, texts: {
+        "id": ids, "source": sources, "lang": langs, **topics_and_words(texts)}, schema) \
+        .withColumnRenamed("id", id_col)
 
 
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
@@ -100,7 +111,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
 
     ``with_row`` adds the whole row as the struct ``__row``.
     """
-    rows = weighed(docs, id_col, text_col, with_row)
+    rows = materialize(weighed(docs, id_col, text_col, with_row), "mix-rows")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-sums")
     if targets is None:
         targets = {d: tempered(cells, d, TEMPER[d]) for d in DIMENSIONS}
@@ -119,7 +130,7 @@ def _rated(rows: DataFrame, rated: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    topic = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in TOPICS) \
+    topic = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p, _ in TOPICS) \
         + f" ELSE '{OTHER_TOPIC}' END"
     steps, last = [], "w0"
     for r in range(ROUNDS):
