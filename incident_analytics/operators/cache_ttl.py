@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CACHE_TTL_SECONDS
@@ -105,6 +105,12 @@ def _follow_hot(times: DataFrame, hot: DataFrame, ttl: int, max_rows: int) -> Da
     return out
 
 
+def entry_key(keys: Sequence[str]) -> Column:
+    """Hash of the key columns; a NULL is a value of its own and keeps its place."""
+    parts = F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)])
+    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+
+
 def ttl_requests(df: DataFrame, keys: Sequence[str], ttl_seconds: int = CACHE_TTL_SECONDS,
                  ts: str = "ts", id_col: str = "id", succeeded: str | None = None,
                  max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
@@ -115,8 +121,7 @@ def ttl_requests(df: DataFrame, keys: Sequence[str], ttl_seconds: int = CACHE_TT
     when it succeeded; a failing request still hits while an entry is alive.
     """
     ttl = int(ttl_seconds * 1_000_000)
-    key = F.sha2(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]), 256)
-    keyed = df.withColumn("__key", key).withColumn(
+    keyed = df.withColumn("__key", entry_key(keys)).withColumn(
         "__us", F.unix_micros(F.col(ts).cast("timestamp")))
     filling = keyed if succeeded is None else keyed.where(F.col(succeeded))
     # First id per distinct time: narrow, combined before the shuffle.

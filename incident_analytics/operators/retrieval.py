@@ -21,6 +21,7 @@ Encoder = Callable[[pd.Series], np.ndarray]
 _PACKED = "shard bigint, ids binary, vectors binary, n int, dim int"
 _SCORED = "query_id bigint, vec_id bigint, score double"
 _HELD_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 _BUFFERED_ROWS = 65_536
 
 
@@ -141,8 +142,10 @@ def _score_blocks(k: int, threshold: float | None, exclude_self: bool):
                 # Keep every tie of the k-th score, so that ties are settled by id.
                 if scores.shape[1] > k:
                     kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-                    width = int((scores >= kth).sum(axis=1).max())
-                    cols = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+                    width = int(((scores >= kth) & np.isfinite(scores)).sum(axis=1).max())
+                    if width == 0:
+                        continue
+                    cols = np.argpartition(-scores, width - 1, axis=1)[:, :width]
                     scores = np.take_along_axis(scores, cols, 1)
                     ids = kids[cols]
                 else:
@@ -180,8 +183,10 @@ def similar_topk(queries: DataFrame, kb: DataFrame, k: int = TOP_K,
     spread over ``shards``; every query block is sent once to each shard by an
     equi-join, and the shard's task keeps only the running best k per query while
     it multiplies block by block.  What is shuffled afterwards is at most
-    queries * k * shards rows - pairs are never rows.  The smaller packed side is
-    broadcast only if the optimizer finds it under its size threshold.
+    queries * k * shards rows - pairs are never rows.  The packed queries are
+    written and their bytes summed: the copies for all shards are broadcast only
+    if they stay under ``BROADCAST_BYTES``; otherwise both sides are shuffled by
+    shard, as the optimizer cannot know the size of packed and repeated blocks.
 
     Dropping scores under the threshold first leaves the same rows as dropping
     them after the top-K, so it is done in the task.
@@ -189,11 +194,15 @@ def similar_topk(queries: DataFrame, kb: DataFrame, k: int = TOP_K,
     spark = queries.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kb_blocks = pack_vectors(kb, kb_id, vector, shards, block_rows)
-    q_blocks = (pack_vectors(queries, query_id, vector, block_rows=block_rows)
-                .select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "n", "dim")])
-                .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                          F.lit(shards - 1).cast("bigint")))))
-    scored = (kb_blocks.join(q_blocks, "shard")
+    packed = materialize(pack_vectors(queries, query_id, vector, block_rows=block_rows)
+                         .select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "n", "dim")]),
+                         "query-blocks")
+    size = packed.agg(F.sum(F.octet_length("q_ids").cast("bigint") + F.octet_length("q_vectors"))).first()[0] or 0
+    q_blocks = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                               F.lit(shards - 1).cast("bigint"))))
+    joined = (kb_blocks.join(F.broadcast(q_blocks), "shard") if size * shards <= BROADCAST_BYTES
+              else kb_blocks.hint("merge").join(q_blocks, "shard"))
+    scored = (joined
               .select("ids", "vectors", "n", "dim", "q_ids", "q_vectors", "q_n", "q_dim")
               .mapInPandas(_score_blocks(k, threshold, exclude_self), _SCORED))
     return topk_per_query(scored, k)

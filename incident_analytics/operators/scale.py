@@ -34,6 +34,13 @@ def spread_scan(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on columns of both sides in which NULL equals NULL."""
+    named = right.withColumnsRenamed({k: f"__right{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"__right{i}")) for i, k in enumerate(keys)]
+    return left.join(named, same).drop(*(f"__right{i}" for i in range(len(keys))))
+
+
 def sequence_numbers(df: DataFrame, order_col: str, keys: Sequence[str] = (),
                      out: str = "seq") -> DataFrame:
     """Dense numbers from 1 in the order of a unique BIGINT column.
@@ -42,7 +49,8 @@ def sequence_numbers(df: DataFrame, order_col: str, keys: Sequence[str] = (),
     into one task.  Instead the span of ``order_col`` is cut into at most 2^20
     equal blocks: rows are ranked inside (key, block), and each block is shifted
     by the number of rows in the blocks before it.  Only block counts, never
-    rows, are summed up across blocks.  Key columns must not be NULL.
+    rows, are summed up across blocks.  A NULL key is a key of its own; rows with
+    a NULL order value come first, in any order.
     """
     keys = list(keys)
     o = F.col(order_col)
@@ -62,12 +70,12 @@ def sequence_numbers(df: DataFrame, order_col: str, keys: Sequence[str] = (),
               .drop("__sn"))
     offsets = (counts.withColumn("__in", F.coalesce(F.sum("__n").over(
         Window.partitionBy(*keys, "__super").orderBy("__block").rowsBetween(*before)), F.lit(0)))
-        .join(supers, [*keys, "__super"])
+        .transform(_join_null_safe, supers, [*keys, "__super"])
         .select(*keys, "__block", (F.col("__in") + F.col("__base")).alias("__offset")))
 
     rank = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(order_col))
     return (blocked.withColumn("__rank", rank)
-            .join(offsets, [*keys, "__block"])
+            .transform(_join_null_safe, offsets, [*keys, "__block"])
             .withColumn(out, (F.col("__rank") + F.col("__offset")).cast("bigint"))
             .drop("__block", "__rank", "__offset"))
 

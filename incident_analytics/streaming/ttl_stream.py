@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..constants import CACHE_TTL_SECONDS
+from ..operators.cache_ttl import entry_key
 
 
 def ttl_requests_stream(stream: DataFrame, keys: Sequence[str], ttl_seconds: int = CACHE_TTL_SECONDS,
@@ -21,7 +22,8 @@ def ttl_requests_stream(stream: DataFrame, keys: Sequence[str], ttl_seconds: int
     out when the watermark passes the end of the entry, so idle keys cost nothing.
     Rows are taken in time order inside a micro-batch (its size bounds what one
     task holds); a row that arrives after a later one was decided does not change
-    that decision.
+    that decision.  A row older than the creation of the live entry is a miss, as
+    the entry did not exist yet, and leaves the entry as it is.
     """
     ttl = int(ttl_seconds * 1_000_000)
 
@@ -35,7 +37,10 @@ def ttl_requests_stream(stream: DataFrame, keys: Sequence[str], ttl_seconds: int
         order = np.lexsort((ids, us))
         us, ids = us[order], ids[order]
         hit = np.ones(len(us), dtype=bool)
-        at = 0 if created is None else int(np.searchsorted(us, created + ttl, side="right"))
+        at = 0
+        if created is not None:
+            hit[:np.searchsorted(us, created)] = False
+            at = int(np.searchsorted(us, created + ttl, side="right"))
         while at < len(us):
             hit[at], created = False, int(us[at])
             at = int(np.searchsorted(us, created + ttl, side="right"))
@@ -45,7 +50,7 @@ def ttl_requests_stream(stream: DataFrame, keys: Sequence[str], ttl_seconds: int
         yield pd.DataFrame({id_col: ids, "hit": hit})
 
     keyed = (stream.withWatermark(ts, delay)
-             .withColumn("__key", F.sha2(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]), 256))
+             .withColumn("__key", entry_key(keys))
              .select("__key", F.col(id_col).cast("bigint").alias("__id"), ts,
                      F.unix_micros(ts).alias("__us")))
     return keyed.groupBy("__key").applyInPandasWithState(

@@ -83,3 +83,9 @@ def test_worker_functions_travel_by_value(tmp_path):
             "print(list(f(pd.DataFrame({'__key': ['k'] * 3, '__us': [0, 5, 6]}))['__us']))")
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert out.stdout.strip() == "[0, 6]"
+
+
+def test_sequence_numbers_keep_nulls(spark):
+    df = spark.createDataFrame([("a", 5), ("a", None), (None, 1), (None, 9), ("a", 2)], "k string, id bigint")
+    got = {(r.k, r.id): r.seq for r in sequence_numbers(df, "id", ["k"]).collect()}
+    assert got == {("a", None): 1, ("a", 2): 2, ("a", 5): 3, (None, 1): 1, (None, 9): 2}

@@ -85,3 +85,10 @@ def test_stream_in_several_batches_equals_batch(spark):
              .option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start())
     query.awaitTermination()
     assert hits(spark.read.parquet(f"{out}/rows")) == replay(rows, 2_000_000)
+
+
+def test_null_key_parts_keep_their_place(spark):
+    df = spark.createDataFrame([(1, None, "a", 0), (2, "a", None, 1), (3, None, "a", 2)],
+                               "id bigint, x string, y string, s int") \
+        .select("id", "x", "y", F.timestamp_seconds("s").alias("ts"))
+    assert {r.id: r.hit for r in ttl_requests(df, ["x", "y"]).collect()} == {1: False, 2: False, 3: True}
