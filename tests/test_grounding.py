@@ -60,7 +60,7 @@ def test_prompts_golden(spark, tmp_path):
                                  "description string, resolution string")
     got = {r.query_id: r for r in g.build_prompts(inc, hits, sops).collect()}
     one, two = got[1].messages[1].content, got[2].messages[1].content
-    for part in ("NEW INCIDENT:\nlogin down\n", "[TKT-00042] (similarity 0.8800)", "reset SSO",
+    for part in ("NEW INCIDENT:\nlogin down\n", "TKT-00042 | Login fails | score 0.8800", "reset SSO",
                  "STANDARD OPERATING PROCEDURE (IT Support):\nSOP for IT Support"):
         assert part in one
     assert "none above threshold" in two and "STANDARD OPERATING PROCEDURE" not in two
