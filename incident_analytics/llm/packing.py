@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from incident_analytics.llm.rows import map_slices
-from incident_analytics.llm.tokens import word_cache
+from incident_analytics.llm.tokens import SLICE_BYTES, word_ids
 from incident_analytics.session import materialize
 
 CAPACITY = 1024
@@ -202,7 +202,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity:
     schema = StructType([docs.select(id_col).schema[0], *PIECES])
 
     def cut(names: list, texts: list) -> dict:
-        ids, counts = word_cache(tokenizer_path).encode(texts, end_id)
+        ids, counts = word_ids(tokenizer_path).encode(texts, end_id)
         pieces = -(-counts // capacity)
         number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = np.repeat(counts - (pieces - 1) * capacity, pieces)
@@ -215,7 +215,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity:
         return {id_col: [names[i] for i in owner], "piece": number, "start": start,
                 "length": length, "ids_crc32": crc}
 
-    return map_slices(docs.select(id_col, text_col), cut, schema, TEXTS)
+    return map_slices(docs.select(id_col, text_col), cut, schema, TEXTS, SLICE_BYTES)
 
 
 def numbered_by_length(pieces: DataFrame, most: int, id_col: str) -> DataFrame:

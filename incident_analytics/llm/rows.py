@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,11 +24,13 @@ CARRIED = "__row"
 
 
 def map_slices(df: DataFrame, fn: Callable[..., dict[str, list]], schema: StructType,
-               rows: int = SLICE) -> DataFrame:
+               rows: int = SLICE, text_bytes: int | None = None) -> DataFrame:
     """Apply ``fn`` to slices of ``rows`` rows, one list per column of ``df``, in Arrow batches.
 
     ``fn`` returns a dict of equally long lists or numpy arrays, one per field of
     ``schema``.  A task holds one Arrow batch and the Python values of one slice.
+    With ``text_bytes`` a slice also ends where the values of the last column would
+    pass that size (a longer value is a slice of its own).
     A last column ``__row`` (see :func:`carry`) is handed through untouched; then
     ``fn`` must return a row per row.
     """
@@ -37,10 +40,19 @@ def map_slices(df: DataFrame, fn: Callable[..., dict[str, list]], schema: Struct
     arrow = to_arrow_schema(schema)
     width = len(df.columns) - carried
 
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.fill_null(pc.binary_length(batch.column(width - 1)), 0).to_pylist() if text_bytes else None
+        start = held = 0
+        for i in range(1, batch.num_rows + 1):
+            if size:
+                held += size[i - 1]
+            if i == batch.num_rows or i - start == rows or (size and held + size[i] > text_bytes):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+
     def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
+            for part in cut(batch):
                 out = fn(*(part.column(i).to_pylist() for i in range(width)))
                 columns = [pa.array(out[f.name], type=f.type) for f in list(arrow)[:len(arrow) - carried]]
                 yield pa.RecordBatch.from_arrays(

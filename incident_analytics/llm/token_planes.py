@@ -32,13 +32,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from incident_analytics.llm.files import create, new_name, open_random
-from incident_analytics.llm.tokens import word_cache
+from incident_analytics.llm.tokens import byte_slices, word_ids
 from incident_analytics.session import materialize, scratch_path
 
 MAGIC = b"TOKPLAN1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-TEXTS = 2048
 MANIFEST = StructType([
     StructField("path", StringType()), StructField("first_id", LongType()),
     StructField("n_docs", LongType()), StructField("n_ids", LongType()),
@@ -185,7 +184,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, uni
     arrow = to_arrow_schema(MANIFEST)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_cache(tokenizer_path)
+        encoder = word_ids(tokenizer_path)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -194,10 +193,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, uni
             writer = PlaneWriter(out, unit, block_ids)
             batch = first
             while batch is not None:
-                for start in range(0, batch.num_rows, TEXTS):
-                    part = batch.slice(start, TEXTS)
-                    writer.add(part.column(0).to_pylist(),
-                               *encoder.encode(part.column(1).to_pylist(), end_id))
+                for start, rows in byte_slices(batch.column(1)):
+                    part = batch.slice(start, rows)
+                    writer.add(part.column(0).to_pylist(), *encoder.encode(part.column(1), end_id))
                 batch = next(batches, None)
             writer.close()
         yield pa.RecordBatch.from_pylist([{
