@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incident_analytics.llm import (language_mix, license_scan, minmax_dedup, mixing, nn_descent, packing,
-                                    quality_lines, token_planes, toxicity, warc_bundle)
+from incident_analytics.llm import (align_tokens, collocations, language_mix, license_scan, minmax_dedup, mixing,
+                                    nn_descent, packing, quality_lines, simhash_dedup, token_planes, toxicity,
+                                    warc_bundle)
 from incident_analytics.llm.rows import crc_of_id, spread, table
 from incident_analytics.session import materialize
 
@@ -72,6 +73,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id")
+    return collocations.collocations(docs)
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    return simhash_dedup.simhash_duplicates(docs)
+
+
+def piece_bpe() -> str:
+    """Default place of the public piece tokenizer; every operator takes the path as a parameter."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    return align_tokens.align_tokenizers(docs, byte_bpe(), piece_bpe())
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_bundles": op2_warc_bundles,
@@ -83,10 +105,14 @@ QUERIES = {
     "op8_token_planes": op8_token_planes,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
     "op2_warc_bundles": warc_bundle.SQL,
     "op4_quality_rules": quality_lines.SQL,
     "op5_license_scans": license_scan.SQL,
     "op10_source_mixing": mixing.SQL,
+    "op11_collocations": collocations.SQL,
 }
