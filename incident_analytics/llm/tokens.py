@@ -14,7 +14,6 @@ import os
 import re
 import sys
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,6 @@ _MARKS = r"[.,!?;:|\"()%&$*#]+"
 _STEM = re.compile(_LETTERS)
 
 
-@cache
 def byte_alphabet() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary.
 
