@@ -5,13 +5,14 @@
    padded with nulls.  Only these longest windows are counted; ROLLUP sums them to
    their shorter prefixes, which gives the counts of all phrases of 1 to 4 words.
 2. A window ends early where it can no longer hold a frequent phrase.  A first
-   pass sums the occurrences of every word and of every pair of neighbours under
-   64-bit hashes, and marks the frequent hashes in a bit set of fixed size.  A
-   window stops before a pair that is not marked, and positions whose word is not
-   marked are counted together as the empty window.  Two hashes that meet only
-   make a window longer than it needs to be, and a bit set that fills up prunes
-   less; the counts of frequent phrases are exact either way, and the sum over
-   all windows of a language is its number of words.
+   pass sums, under 64-bit hashes, the occurrences of words, of two and of three
+   neighbours, and marks the frequent hashes in a bit set of fixed size.  The
+   hashes travel packed, a row per range of hashes and run of texts.  A window
+   stops where its last two or three words are not marked, and positions whose
+   word is not marked are counted together as the empty window.  Hashes that meet
+   only make a window longer than it needs to be, and a bit set that fills up
+   prunes less; the counts of frequent phrases are exact either way, and the sum
+   over all windows of a language is its number of words.
 3. Candidates, their cuts and the longer candidates around them are joins of the
    phrase table with itself.
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ TOP = 2000
 SCALE = 2_000_000
 UNKNOWN = "und"
 FILTER_BITS = 26
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+RUN_HASHES = 1 << 20
+RANGES = 16
 
 #: What a byte is: 0 part of a word, 1 a blank, 2 the end of a piece.
 _KIND = np.zeros(256, np.uint8)
@@ -76,14 +80,20 @@ class Words:
         owner = np.searchsorted(np.cumsum(size + 1), begin, side="right")
         self.lang = lang.indices.to_numpy(zero_copy_only=False)[owner]
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of (language, word) per word, and of (language, word, next word) per joined pair."""
+    def hashes(self) -> list[np.ndarray]:
+        """Hashes of the phrases of one, two and three words at each position, zero where a piece ends first."""
         digest = xxhash.xxh3_64_intdigest
         of = np.array([digest(w.encode()) for w in self.names.to_pylist()], np.uint64)[self.code]
         by = np.array([digest(x.encode(), 1) for x in self.langs.to_pylist()], np.uint64)[self.lang]
-        one = _scramble(of ^ by)
-        first = np.flatnonzero(self.joined)
-        return one, _scramble(one[first] * np.uint64(0x9E3779B97F4A7C15) + of[first + 1])
+        found, whole = [_scramble(of ^ by)], np.ones(len(of), bool)
+        for step in (1, 2):
+            longer = np.zeros(len(of), np.uint64)
+            whole[len(of) - step:] = False
+            whole[:len(of) - step] &= self.joined[step - 1:]
+            at = np.flatnonzero(whole)
+            longer[at] = _scramble(found[-1][at] * np.uint64(0x9E3779B97F4A7C15) + of[at + step])
+            found.append(longer)
+        return found
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -100,24 +110,84 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
                 yield words
 
 
-def frequent_bits(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Bit set of 2 ** ``bits`` bits with the hashes of frequent words and neighbour pairs marked."""
-    schema = pa.schema([("hash", pa.int64()), ("n", pa.int32())])
+def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of several counts, with their sums."""
+    hashes, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[first], np.add.reduceat(n, first)
+
+
+def packed_hashes(texts: DataFrame, parts: int) -> DataFrame:
+    """``part`` (of ``parts`` ranges of hashes), and the sorted hashes and counts of a run of texts in it."""
+    schema = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        found, n = _merge(held)
+        # 48 bits tell the hashes apart; sorted, their differences take half of that.
+        cuts = np.searchsorted(found, [(k << 48) // parts for k in range(parts + 1)])
+        for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+            if a < b:
+                step = np.diff(found[a:b], prepend=np.uint64(0))
+                halves = np.concatenate([step.astype("<u4"), (step >> np.uint64(32)).astype("<u4")])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([k], pa.int32()), pa.array([pack(halves.tobytes())]),
+                    pa.array([pack(n[a:b].astype("<u4").tobytes())])], schema=schema)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for words in _slices(batches):
-            found, n = np.unique(np.concatenate(words.hashes()), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))],
-                                             schema=schema)
+            given = np.concatenate(words.hashes())
+            held.append(np.unique(given[given > 0] >> np.uint64(16), return_counts=True))
+            size += len(held[-1][0])
+            if size > RUN_HASHES:
+                yield from rows(held)
+                held, size = [], 0
+        if held:
+            yield from rows(held)
+
+    return texts.mapInArrow(hashed, "part int, hashes binary, counts binary")
+
+
+def frequent_bits(texts: DataFrame, least: int, bits: int) -> np.ndarray:
+    """Bit set of 2 ** ``bits`` bits with the hashes of frequent phrases of up to three words marked."""
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    schema = pa.schema([("at", pa.int64()), ("bits", pa.int64())])
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, last = [], None
+        for batch in batches:
+            for part, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and part != last:
+                    yield marked_words(held)
+                    held = []
+                last = part
+                halves = np.frombuffer(unpack(hashes), "<u4").reshape(2, -1).astype(np.uint64)
+                held.append((np.cumsum(halves[0] + (halves[1] << np.uint64(32)), dtype=np.uint64),
+                             np.frombuffer(unpack(counts), "<u4").astype(np.int64)))
+                if len(held) > 64:
+                    held = [_merge(held)]
+        if held:
+            yield marked_words(held)
+
+    def marked_words(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        found, n = _merge(held)
+        place = np.unique(found[n >= least] >> np.uint64(48 - bits))
+        at, first = np.unique(place >> np.uint64(6), return_index=True)
+        one = np.uint64(1) << (place & np.uint64(63))
+        words = np.bitwise_or.reduceat(one, first) if len(at) else one
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(words.view(np.int64))],
+                                          schema=schema)
 
-    counted = (texts.mapInArrow(hashed, "hash bigint, n int").groupBy("hash").agg(F.sum("n").alias("n"))
-               .where(F.col("n") >= least))
-    place = F.shiftrightunsigned("hash", 64 - bits)
     # At most 2 ** (bits - 6) rows, whatever the size of the corpus.
-    marked = (counted.groupBy(F.shiftright(place, 6).alias("at"))
-              .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))"))
-                   .alias("bits")).toArrow())
-    found = np.zeros(1 << (bits - 6), np.int64)
+    ranged = packed_hashes(texts, RANGES * tasks).repartition(tasks, "part").sortWithinPartitions("part")
+    marked = (ranged.mapInArrow(marks, "at bigint, bits bigint")
+              .groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow())
+    found = np.zeros(max(1, 1 << (bits - 6)), np.int64)
     found[marked.column("at").to_numpy()] = marked.column("bits").to_numpy()
     return found.view(np.uint64)
 
@@ -129,17 +199,17 @@ def lead_windows(texts: DataFrame, marked: np.ndarray, bits: int) -> DataFrame:
 
     def known(hashes: np.ndarray) -> np.ndarray:
         at = hashes >> np.uint64(64 - bits)
-        return (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool) & (hashes > 0)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _slices(batches):
-            one, pair = words.hashes()
-            follows = words.joined.copy()
-            follows[follows] = known(pair)
-            leads = [np.where(known(one), words.code, -1)]
+            marks = [known(h) for h in words.hashes()]
+            n, goes_on = len(words.code), marks[0].copy()
+            leads = [np.where(goes_on, words.code, -1)]
             for step in range(1, LONGEST):
-                goes_on = np.zeros(len(one), bool)
-                goes_on[:len(one) - step] = ((leads[-1][:len(one) - step] >= 0) & follows[step - 1:])
+                goes_on[n - step:] = False
+                for size in range(2, min(step + 1, 3) + 1):  # the phrases that end with the new word
+                    goes_on[:n - step] &= marks[size - 1][step + 1 - size:n + 1 - size]
                 leads.append(np.where(goes_on, np.roll(words.code, -step), -1))
             columns = {"lang": words.lang} | dict(zip(_WORDS, leads))
             counted = pa.table(columns).group_by(list(columns)).aggregate([([], "count_all")])
