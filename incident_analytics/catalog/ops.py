@@ -10,6 +10,7 @@ from ..operators import opslog as o
 from ..operators.cache_ttl import cache_table, ttl_requests
 from ..session import scratch_path
 from ..sources.stores import append_request_log, read_request_log
+from ..streaming.late import count_late_rows
 from ..streaming.ops_stream import (ops_summary_stream, request_volume_stream, run_available,
                                     trailing_summary_stream)
 from ..streaming.ttl_stream import ttl_requests_stream
@@ -225,3 +226,22 @@ register("trailing_summary_stream",
 register("ttl_requests_stream",
          lambda s, d: run_available(ttl_requests_stream(log_stream(s, d), _KEYS), "ttl"),
          _CHAIN + " SELECT id, hit FROM decided")
+
+
+def _late(s, d):
+    """The log arriving in four parts that each span the whole time, a part per micro-batch."""
+    path = scratch_path(s, "late-log")
+    log = b.unpriced_log(s, d).select("id", F.col("ts").cast("timestamp").alias("ts"))
+    for part in range(4):
+        log.where(F.col("id") % 4 == part).coalesce(1).write.mode("append").parquet(path)
+    stream = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return (count_late_rows(stream, "late-rows", "1 hour")
+            .select(_text("window_start").alias("window_start"), "late_rows"))
+
+
+register("late_rows_stream", _late,
+         f"""WITH {LOG}, seen AS (SELECT id % 4 + k AS part, max(ts) AS latest FROM log, (SELECT unnest([1, 2, 3]) AS k)
+         WHERE id % 4 + k < 4 GROUP BY 1),
+         w AS (SELECT date_trunc('hour', ts) AS h, date_trunc('millisecond', latest) - INTERVAL 2 MINUTE AS mark
+               FROM log JOIN seen ON part = id % 4)
+         SELECT {_TEXT.format("h")} AS window_start, {_N} AS late_rows FROM w WHERE h + INTERVAL 1 HOUR <= mark GROUP BY h""")

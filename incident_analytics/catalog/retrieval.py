@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logs import DEFAULT_STYLE, PROMPT_STYLES, retrieval_request_key, with_prompt_style
 from ..operators import grounding as g
+from ..operators.approx import similar_topk_approx
 from ..operators import retrieval as r
 from ..session import scratch_path
 from ..sources.stores import read_sops
@@ -61,6 +62,15 @@ register("similar_topk_unfiltered",
          OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10""")
 
 
+def _approx_hits(s, d):
+    e = _vectors(s, d)
+    return similar_topk_approx(e.withColumnRenamed("vec_id", "query_id"), e, 3, 0.35, exclude_self=True)
+
+
+# Approximate, so without a SQL twin: recall is measured in tests/test_approx.py.
+register("similar_topk_approx", lambda s, d: _approx_hits(s, d).withColumn("score", F.round("score", 4)))
+
+
 def _label_scores(s, d):
     """Vectors as candidates of their label, scored by one coordinate: ten large groups."""
     return _vectors(s, d).select(F.col("label").alias("query_id"), "vec_id",

@@ -8,6 +8,7 @@ from ..functions.text import classifier_text, embed_text, queue_slug, tag_array
 from ..operators import curation as c
 from ..operators import sampling as m
 from ..operators.generate import DATE_RANGE, FIRST_DATE, POOLS, PRIORITIES, TEMPLATES, generate_for
+from ..operators.leakage import kb_eval_leakage
 from ..session import scratch_path
 from ..sources.stores import store_inventory
 from ..sources.tickets import CSV_OPTIONS, read_kb, read_raw_tickets, write_kb, write_splits
@@ -29,7 +30,7 @@ _RAW_TEXT = ("subject", "body", "answer", "queue", "language", "type", "priority
 
 # --- sources --------------------------------------------------------------------
 
-def _exported(s, d):
+def _exported(s, d, **how):
     """Write the raw tickets as CSV exports with two different headers and read them back."""
     path = scratch_path(s, "exports")
     raw = b.raw_tickets(s, d)
@@ -37,14 +38,14 @@ def _exported(s, d):
     writer = lambda df, part: df.write.options(**CSV_OPTIONS).csv(f"{path}/{part}")
     writer(text.where("src_ord % 2 = 0").drop("src_ord"), "a")
     writer(text.where("src_ord % 2 = 1").drop("src_ord", "tag_2"), "b")
-    return read_raw_tickets(s, path).drop("src_ord")
+    return read_raw_tickets(s, path, **how).drop("src_ord").select(
+        *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in _RAW_TEXT])
 
 
-register("read_raw_tickets",
-         lambda s, d: _exported(s, d).select(
-             *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in _RAW_TEXT]),
-         f"WITH {RAW} SELECT " + ", ".join(
-             f"coalesce(CAST({x} AS VARCHAR), '') AS {x}" for x in _RAW_TEXT) + " FROM raw")
+_RAW_SQL = (f"WITH {RAW} SELECT " + ", ".join(
+    f"coalesce(CAST({x} AS VARCHAR), '') AS {x}" for x in _RAW_TEXT) + " FROM raw")
+register("read_raw_tickets", _exported, _RAW_SQL)
+register("read_raw_tickets_split", lambda s, d: _exported(s, d, split_files=True), _RAW_SQL)
 
 
 def _kb(s, d):
@@ -169,6 +170,20 @@ register("stratified_cap", lambda s, d: m.stratified_cap(b.uneven_tickets(s, d),
 register("stratified_split",
          lambda s, d: m.stratified_split(b.uneven_tickets(s, d)).select(*_KEEP, "split"),
          _SPLIT + " SELECT ticket_id, category, split FROM parted")
+
+
+def _leakage(s, d):
+    split = m.stratified_split(b.uneven_tickets(s, d))
+    return kb_eval_leakage(split, split.where("split = 'test'"))
+
+
+register("kb_eval_leakage", _leakage,
+         _SPLIT + """, t AS (SELECT DISTINCT description FROM parted WHERE split = 'test' AND description IS NOT NULL),
+         j AS (SELECT p.category, p.split = 'test' AS i, t.description IS NOT NULL AS x
+               FROM parted p LEFT JOIN t ON t.description = p.description)
+         SELECT category, CAST(count(*) AS BIGINT) AS kb_tickets, CAST(count(*) FILTER (i) AS BIGINT) AS same_id,
+           CAST(count(*) FILTER (x) AS BIGINT) AS same_text, CAST(count(*) FILTER (i OR x) AS BIGINT) AS leaked
+         FROM j GROUP BY category""")
 _MEDIAN = "(SELECT floor(median(n)) FROM (SELECT count(*) AS n FROM {0} GROUP BY category))"
 register("balance_to_median", lambda s, d: m.balance_to_median(b.uneven_tickets(s, d)).select(*_KEEP),
          f"{_U} SELECT ticket_id, category FROM ranked WHERE rk <= {_MEDIAN.format('tickets')}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..operators.curation import union_raw
 from ..operators.scale import broadcast_if, fits_broadcast
+from ..session import materialize
+from .csv_split import numbered, records
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -25,7 +28,8 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> list[s
 
 
 def read_raw_tickets(spark: SparkSession, path: str, multi_line: bool = True,
-                     one_header_per_dir: bool = False, order_col: str = "src_ord") -> DataFrame | None:
+                     one_header_per_dir: bool = False, order_col: str = "src_ord",
+                     split_files: bool = False) -> DataFrame | None:
     """All CSV exports below ``path`` (or one file), united by column name.
 
     Files are grouped by their header, each group is read with its own all-text
@@ -36,8 +40,12 @@ def read_raw_tickets(spark: SparkSession, path: str, multi_line: bool = True,
     Only header lines are looked at while planning: one per file, or one per
     folder with ``one_header_per_dir`` (for stores with very many files).  With
     ``multi_line`` (bodies may contain line breaks) one file is one task; use
-    ``multi_line=False`` for exports without line breaks so that files are split.
+    ``multi_line=False`` for exports without line breaks so that files are split,
+    or ``split_files=True`` to split files with line breaks in quoted fields too
+    (see ``csv_split``; quotes must be doubled inside quoted fields).
     """
+    if split_files:
+        return _read_split(spark, path, order_col)
     files = list_files(spark, path)
     if not files:
         return None
@@ -60,6 +68,26 @@ def read_raw_tickets(spark: SparkSession, path: str, multi_line: bool = True,
     return _with_positions(union_raw(parts), order_col)
 
 
+def _read_split(spark: SparkSession, path: str, order_col: str) -> DataFrame | None:
+    """All exports with every file cut by many tasks; headers are read in the same pass."""
+    rows = materialize(numbered(records(spark, path)), "csv-rows")
+    heads = rows.where("row = 0").select("file", F.regexp_replace("record", "\r$", "").alias("header"))
+    kinds = sorted(r.header for r in heads.select("header").distinct().collect())  # one per form of export
+    if not kinds:
+        return None
+    options = {k: CSV_OPTIONS[k] for k in ("escape", "quote", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace")}
+    data = rows.where("row > 0").join(broadcast_if(heads, fits_broadcast(heads)), "file")
+    parts = []
+    for header in kinds:
+        names = next(csv.reader([header]))
+        fields = ", ".join(f"`{c}` STRING" for c in names)
+        record = F.from_csv(F.regexp_replace("record", "\r$", ""), fields, options)
+        parts.append(data.where(F.col("header") == header).select(
+            record.alias("r"), (F.col("base") + F.col("row") - 1).cast("bigint").alias("__ord"))
+            .select(*[F.col(f"r.`{c}`") for c in names], "__ord"))
+    return union_raw(parts).withColumnRenamed("__ord", order_col)
+
+
 def _with_positions(rows: DataFrame, out: str) -> DataFrame:
     """Positions over (file, split, row), summed up from counts per split."""
     splits = rows.groupBy("__file", "__start").agg(
