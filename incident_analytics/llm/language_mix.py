@@ -2,11 +2,14 @@
 
 Training counts the byte n-grams of all labelled texts per language, hashed into
 a fixed number of cells, so the model has cells x languages numbers however
-large the corpus is.  A text is a bag of words; each word has a likelihood under
-every language, and expectation-maximisation finds the shares of the languages
-that make the words likeliest.  Starting from the largest share, languages are
-added while the gain in log-likelihood pays a penalty per language; the text's
-language is the one with the largest share in the chosen set.
+large the corpus is.  A text is a bag of words; each word, with the gaps beside
+it, has a likelihood under every language, and expectation-maximisation finds the
+shares of the languages that make the words likeliest, until no share of the text
+moves any more.  Of the sets of the languages with the largest shares, of any
+size, the one with the best log-likelihood less a penalty per language is chosen;
+sizes that could not beat it even with the likelihood of all languages are left
+out.  The text's language is the one with the largest share in the chosen set.
+What is found for a text follows from the text and the model alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as
 is every text when nothing was learned; a null language or text teaches nothing;
@@ -33,14 +36,12 @@ from incident_analytics.llm.rows import carry, map_slices
 CELLS = 1 << 15
 ORDERS = (2, 3, 4)
 SMOOTHING = 0.5
-ROUNDS = 12
-REFINE_ROUNDS = 4
-LARGEST_SET = 4
+#: Expectation-maximisation ends for a text when no share moves by this much in a round.
+TOLERANCE = 1e-4
 PENALTY = 12.0
 UNKNOWN = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5],
                     np.uint64)
-_GAP = 0x20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,12 +57,28 @@ def cells_of(raw: np.ndarray, order: int, cells: int = CELLS) -> np.ndarray:
     return (total % np.uint64(cells)).astype(np.int64)
 
 
-def count_cells(words: list[bytes], cells: int = CELLS) -> np.ndarray:
+def word_cells(words: list[bytes], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per n-gram order: the cell that starts at each byte, whether it lies in one word, and where words begin.
+
+    A word reaches from the gap before it to the gap after it.
+    """
     raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    found = np.zeros(cells, np.int64)
+    lengths = np.array([len(w) for w in words], np.int64) + 1
+    begins = np.cumsum(lengths) - lengths
+    last = np.repeat(begins + lengths, lengths)  # of the word that each byte belongs to
     for order in ORDERS:
+        found = np.zeros(len(last), np.int64)
         if len(raw) >= order:
-            found += np.bincount(cells_of(raw, order, cells), minlength=cells)
+            own = cells_of(raw, order, cells)[:len(last)]
+            found[:len(own)] = own
+        yield found, np.arange(len(last)) + order - 1 <= last, begins
+
+
+def count_cells(words: list[bytes], cells: int = CELLS) -> np.ndarray:
+    found = np.zeros(cells, np.int64)
+    if words:
+        for at, inside, _ in word_cells(words, cells):
+            found += np.bincount(at[inside], minlength=cells)
     return found
 
 
@@ -95,6 +112,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     sums[lang] = sums.get(lang, 0) + count_cells(words, cells)
         for lang, found in sums.items():
             at = np.flatnonzero(found)
+            at = at if len(at) else np.zeros(1, np.int64)  # texts without words still name their language
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)),
                  pa.array(found[at])], schema=arrow)
@@ -114,75 +132,70 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def word_likelihoods(model: Model, words: list[bytes]) -> np.ndarray:
     """Log-likelihood of each word (with the gaps around it) under each language."""
-    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    lengths = np.array([len(w) for w in words]) + 1
-    begins = np.cumsum(lengths) - lengths
     total = np.zeros((len(words), len(model.languages)))
-    for order in ORDERS:
-        if len(raw) < order:
-            continue
-        logs = model.logs[cells_of(raw, order, len(model.logs))]
-        if order > 2:  # an n-gram belongs to the word in which it starts, so long ones reach over the gap
-            logs = np.concatenate([logs, np.zeros((order - 2, logs.shape[1]))])
-        total += np.add.reduceat(logs, begins, axis=0)
+    for at, inside, begins in word_cells(words, len(model.logs)):
+        total += np.add.reduceat(np.where(inside[:, None], model.logs[at], 0), begins, axis=0)
     return total
 
 
-def shares(likelihoods: np.ndarray, weights: np.ndarray, starts: np.ndarray, allowed: np.ndarray,
-           begin: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares and log-likelihood of documents (segments of words) over their allowed languages.
+def shares(likelihoods: np.ndarray, weights: np.ndarray, sizes: np.ndarray, allowed: np.ndarray,
+           begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and log-likelihood of documents (runs of ``sizes`` words) over their allowed languages.
 
-    ``likelihoods`` are scaled to a largest value of 1 per word.
+    ``likelihoods`` are scaled to a largest value of 1 per word.  Every document
+    goes on until its own shares have settled.
     """
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(weights))))
+    starts = np.cumsum(sizes) - sizes
     total = np.add.reduceat(weights, starts)[:, None]
     now = np.where(allowed, begin, 0)
     now = now / now.sum(axis=1, keepdims=True)
-    for _ in range(rounds):
-        joint = likelihoods * now[owner]
-        joint *= (weights / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
-        new = np.add.reduceat(joint, starts, axis=0) / total
-        done = np.abs(new - now).max() < 1e-4
-        now = new
-        if done:
-            break
-    seen = np.maximum((likelihoods * now[owner]).sum(axis=1), 1e-300)
+    active, like, w = np.arange(len(sizes)), likelihoods, weights
+    while len(active):
+        own = sizes[active]
+        joint = like * now[np.repeat(active, own)]
+        joint *= (w / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
+        new = np.add.reduceat(joint, np.cumsum(own) - own, axis=0) / total[active]
+        moving = np.abs(new - now[active]).max(axis=1) >= TOLERANCE
+        now[active] = new
+        if not moving.all():
+            kept = np.repeat(moving, own)
+            active, like, w = active[moving], like[kept], w[kept]
+    seen = np.maximum((likelihoods * now[np.repeat(np.arange(len(sizes)), sizes)]).sum(axis=1), 1e-300)
     return now, np.add.reduceat(np.log(seen) * weights, starts)
 
 
 def mixtures(model: Model, texts: list[list[bytes]]) -> list[tuple[list[str], list[float]]]:
     """Chosen languages with their shares, largest first, for bags of at least one word each."""
     names: dict[bytes, int] = {}
-    ids, weights, starts = [], [], []
+    ids, weights, sizes = [], [], []
     for words in texts:
         own: dict[int, int] = {}
         for w in words:
             k = names.setdefault(w, len(names))
             own[k] = own.get(k, 0) + 1
-        starts.append(len(ids))
+        sizes.append(len(own))
         ids += own
         weights += own.values()
     logs = word_likelihoods(model, list(names))
     scaled = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60))[ids]
-    weights, starts = np.array(weights, float), np.array(starts)
+    weights, sizes = np.array(weights, float), np.array(sizes)
     n = len(model.languages)
-    every = np.ones((len(texts), n), bool)
-    full, _ = shares(scaled, weights, starts, every, np.ones((len(texts), n)), ROUNDS)
+    full, most = shares(scaled, weights, sizes, np.ones((len(texts), n), bool), np.ones((len(texts), n)))
     order = np.argsort(-full, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    price = PENALTY * np.log(np.add.reduceat(weights, starts) + 1)
-    best, chosen = None, None
-    for size in range(1, min(n, LARGEST_SET) + 1):
-        allowed = rank < size
-        now, fit = shares(scaled, weights, starts, allowed, full + 1e-6,
-                          REFINE_ROUNDS if size > 1 else 0)
-        value = fit - price * (size - 1)
-        if best is None:
-            best, chosen = value, now
-        else:
-            better = value > best
-            best = np.where(better, value, best)
-            chosen = np.where(better[:, None], now, chosen)
+    price = PENALTY * np.log(np.add.reduceat(weights, np.cumsum(sizes) - sizes) + 1)
+    best, chosen = np.full(len(texts), -np.inf), np.zeros_like(full)
+    for size in range(1, n + 1):
+        # All languages together fit best: a set that loses even with their likelihood is not tried.
+        open_ = most + 1e-6 * np.abs(most) - price * (size - 1) > best
+        if not open_.any():
+            break
+        rows = np.repeat(open_, sizes)
+        now, fit = shares(scaled[rows], weights[rows], sizes[open_], (rank < size)[open_], full[open_] + 1e-6)
+        value = fit - price[open_] * (size - 1)
+        better = np.flatnonzero(open_)[value > best[open_]]
+        chosen[better] = now[value > best[open_]]
+        best[better] = value[value > best[open_]]
     found = []
     for row in chosen:
         picked = [k for k in np.argsort(-row, kind="stable") if row[k] > 0]
