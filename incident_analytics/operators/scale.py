@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-_BLOCKS = 1 << 20
+_QUANTILES = 256
 _SUPER = 1 << 10
 
 
@@ -46,20 +46,15 @@ def sequence_numbers(df: DataFrame, order_col: str, keys: Sequence[str] = (),
     """Dense numbers from 1 in the order of a unique BIGINT column.
 
     A single window would put a whole key (or, without keys, the whole table)
-    into one task.  Instead the span of ``order_col`` is cut into at most 2^20
-    equal blocks: rows are ranked inside (key, block), and each block is shifted
-    by the number of rows in the blocks before it.  Only block counts, never
-    rows, are summed up across blocks.  A NULL key is a key of its own; rows with
-    a NULL order value come first, in any order.
+    into one task.  Instead the values are cut into blocks: at the approximate
+    quantiles of ``order_col``, so that far outliers take no room from the others,
+    and between two quantiles into equal widths.  Rows are ranked inside (key,
+    block), and each block is shifted by the number of rows in the blocks before
+    it.  Only block counts, never rows, are summed up across blocks.  A NULL key
+    is a key of its own; rows with a NULL order value come first, in any order.
     """
     keys = list(keys)
-    o = F.col(order_col)
-    span = F.col("hi").cast("double") - F.col("lo").cast("double") + 1
-    grid = (df.agg(F.min(o).alias("lo"), F.max(o).alias("hi"))
-            .select(F.struct("lo", F.greatest(F.lit(1).cast("bigint"), F.ceil(span / _BLOCKS)
-                                              .cast("bigint")).alias("width")))).scalar()
-    block = F.floor((o - grid["lo"]) / grid["width"]).cast("bigint")
-    blocked = df.withColumn("__block", block)
+    blocked = _with_block(df, order_col)
 
     counts = (blocked.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__super", F.floor(F.col("__block") / _SUPER)))
@@ -80,6 +75,26 @@ def sequence_numbers(df: DataFrame, order_col: str, keys: Sequence[str] = (),
             .drop("__block", "__rank", "__offset"))
 
 
+def _with_block(df: DataFrame, order_col: str) -> DataFrame:
+    """Add ``__block``, rising with the value: its quantile, then its place between both quantiles.
+
+    The quantiles are one array of 257 values, in which a value finds its own in
+    eight halving steps.
+    """
+    o = F.col(order_col)
+    found = df.agg(F.percentile_approx(o, [i / _QUANTILES for i in range(_QUANTILES + 1)], 20_000)).first()[0]
+    if found is None:  # no value at all
+        return df.withColumn("__block", F.lit(None).cast("bigint"))
+    grid = F.lit(found)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_QUANTILES.bit_length() - 1))])
+    placed = df.withColumn("__q", F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(grid, at + step) <= o, at + step).otherwise(at)))
+    low, high = F.get(grid, F.col("__q")).cast("double"), F.get(grid, F.col("__q") + 1).cast("double")
+    inside = F.floor((o.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * _SUPER)
+    place = F.greatest(F.lit(0), F.least(F.lit(_SUPER - 1), inside))
+    return placed.withColumn("__block", F.when(o.isNotNull(), F.col("__q") * _SUPER + place).cast("bigint")).drop("__q")
+
+
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                       probs: dict[str, float], resolution: int = 4096) -> DataFrame:
     """Nearest-rank percentiles per key, exact, without gathering a key's values.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from incident_analytics.operators.scale import (exact_percentiles, heavy_keys, salted_join,
@@ -89,3 +90,19 @@ def test_sequence_numbers_keep_nulls(spark):
     df = spark.createDataFrame([("a", 5), ("a", None), (None, 1), (None, 9), ("a", 2)], "k string, id bigint")
     got = {(r.k, r.id): r.seq for r in sequence_numbers(df, "id", ["k"]).collect()}
     assert got == {("a", None): 1, ("a", 2): 2, ("a", 5): 3, (None, 1): 1, (None, 9): 2}
+
+
+def test_numbering_blocks_stay_balanced_beside_outliers(spark):
+    """Two far values, one key with a third of all rows, NULL values: numbers dense and in order, blocks small."""
+    from incident_analytics.operators.scale import _with_block
+    near = spark.range(60_000).select((F.col("id") * 3 + 1_700_000_000).alias("v"),
+                                      F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"))
+    far = spark.createDataFrame([(-9_000_000_000_000_000_000, "hot"), (9_000_000_000_000_000_000, "hot"), (None, "hot")],
+                                "v bigint, k string")
+    rows = near.unionByName(far)
+    blocks = _with_block(rows, "v").groupBy("__block").count()
+    assert blocks.agg(F.max("count")).first()[0] < 2_000 and blocks.count() > 200
+    got = sequence_numbers(rows, "v", ["k"])
+    want = rows.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy("v")))
+    same = got.join(want, F.col("want").eqNullSafe(F.col("seq")) & got.k.eqNullSafe(want.k) & got.v.eqNullSafe(want.v))
+    assert got.count() == same.count() == 60_003
