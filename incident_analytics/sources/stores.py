@@ -57,10 +57,19 @@ def request_log_rows(df: DataFrame) -> DataFrame:
                      ).select(*REQUEST_LOG_COLUMNS)
 
 
-def append_request_log(df: DataFrame, path: str) -> None:
-    """Append metered rows to the log, one partition folder per day."""
-    (request_log_rows(df).withColumn("date", F.to_date("ts"))
-     .write.mode("append").partitionBy("date").parquet(path))
+def append_request_log(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append metered rows to the log, one partition folder per day.
+
+    With ``batch``, a name for these rows, the append may be repeated: the rows go
+    to a folder of the batch below each day, and a repeated batch replaces exactly
+    those folders.  One log is appended to either always with names or never.
+    """
+    rows = request_log_rows(df).withColumn("date", F.to_date("ts"))
+    if batch is None:
+        rows.write.mode("append").partitionBy("date").parquet(path)
+    else:
+        (rows.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path))
 
 
 def append_request_log_stream(stream: DataFrame, path: str, checkpoint: str):
@@ -80,7 +89,7 @@ def read_request_log(spark: SparkSession, path: str, since: str | None = None,
     log = spark.read.parquet(path)
     if since is not None:
         log = log.where(F.col("date") >= F.lit(since).cast("date"))
-    return log if keep_date else log.drop("date")
+    return log.drop("batch") if keep_date else log.drop("date", "batch")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from incident_analytics.catalog import bindings as b
 from incident_analytics.operators import opslog as o
 from incident_analytics.session import scratch_path
-from incident_analytics.sources.stores import (append_request_log_stream, read_request_log, read_training_log,
-                                               request_log_rows, store_inventory)
+from incident_analytics.sources.stores import (append_request_log, append_request_log_stream, read_request_log,
+                                               read_training_log, request_log_rows, store_inventory)
 from incident_analytics.streaming.ops_stream import ops_summary_stream, request_volume_stream, run_available
 
 
@@ -78,3 +78,15 @@ def test_training_log_and_inventory(spark, tmp_path):
     assert row.train_seconds == 3.5 and row.log_history[0].loss == 2.5 and row.hyperparameters["epochs"] == "2"
     got = store_inventory(spark, {"log": str(tmp_path / "log.json"), "gone": str(tmp_path / "gone")}, "json").collect()
     assert {(r.store, r.present, r.files) for r in got} == {("log", True, 1), ("gone", False, 0)}
+
+
+def test_repeated_batch_adds_nothing(spark, sf):
+    log = b.request_log(spark, sf)
+    path = scratch_path(spark, "named-log")
+    first, second = log.where("id % 2 = 0"), log.where("id % 2 = 1")
+    for rows, batch in ((first, "b1"), (second, "b2"), (first, "b1"), (second, "b2")):
+        append_request_log(rows, path, batch)
+    stored = read_request_log(spark, path)
+    want = request_log_rows(log).select(*stored.columns)
+    assert stored.exceptAll(want).count() == 0 and stored.count() == want.count()
+    assert read_request_log(spark, path, "2024-01-20").count() == log.where("ts >= '2024-01-20'").count()
