@@ -12,7 +12,7 @@ from ..operators.summarize import extractive_summaries
 from ..plans.compare import compare_variants, comparison_json
 from ..plans.journey import JourneyModels, incident_journey
 from ..session import materialize, scratch_path
-from ..sources.stores import read_reports
+from ..sources.stores import read_report_samples, read_reports
 from . import bindings as b
 from .bindings import LONG_PRED, PRED, PRED_LABELS
 
@@ -68,36 +68,46 @@ register("compare_variants", lambda s, d: compare_variants(_stacked(s, d), PRED_
          "JOIN scores s ON s.variant = r.variant")
 
 
-def _reports(s, d):
+_SOURCES = {"base": "models/base", "finetuned": "models/tuned"}
+
+
+def _samples(s, d):
+    p = b.predictions(s, d)
+    side = lambda y: p.select("ticket_id", F.col(y).alias("y_pred"))
+    return c.variant_samples(p.select("ticket_id", "text", "y_true"), side("y_base"), side("y_tuned"), 20)
+
+
+def _report_path(s, d):
     path = scratch_path(s, "report")
-    comparison_json(_stacked(s, d), PRED_LABELS).write.text(path)
-    return read_reports(s, path)
+    comparison_json(_stacked(s, d), PRED_LABELS, _samples(s, d), _SOURCES).write.text(path)
+    return path
+
+
+def _reports(s, d):
+    return read_reports(s, _report_path(s, d))
 
 
 register("read_reports",
-         lambda s, d: _reports(s, d).select("variant", "eval_rows", "accuracy", "f1_macro",
+         lambda s, d: _reports(s, d).select("variant", "model_source", "eval_rows", "accuracy", "f1_macro",
                                             F.size("per_class").alias("n_labels")),
-         f"WITH {_COUNTS}, {_SCORES} SELECT variant, eval_rows, accuracy, f1_macro, {len(PRED_LABELS)} AS n_labels "
-         "FROM scores")
+         f"WITH {_COUNTS}, {_SCORES} SELECT variant, CASE variant WHEN 'base' THEN 'models/base' ELSE 'models/tuned' END "
+         f"AS model_source, eval_rows, accuracy, f1_macro, {len(PRED_LABELS)} AS n_labels FROM scores")
 register("per_class_table", lambda s, d: c.per_class_table(_reports(s, d), "finetuned"),
          f"WITH {_COUNTS}, {_REPORT} SELECT * EXCLUDE (variant) FROM report WHERE variant = 'finetuned'")
 
 
-def _samples(s, d):
-    p = b.predictions(s, d)
-    side = lambda y: p.select("ticket_id", F.col(y).alias("y_pred"))
-    return c.variant_samples(p.select("ticket_id", "text", "y_true"), side("y_base"), side("y_tuned"), 20)
-
-
 _MARK = "CASE WHEN {0} = y_true THEN 'right' ELSE 'wrong' END"
-register("variant_samples", _samples,
-         f"""WITH {PRED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY
-           md5('43:' || CAST(ticket_id AS VARCHAR)), ticket_id) AS rk, count(*) OVER (PARTITION BY y_true) AS n,
-           count(*) OVER () AS total FROM wide)
-         SELECT ticket_id, substr(text, 1, 140) AS text, y_true, y_base AS base_pred,
-           {_MARK.format('y_base')} AS base_mark, y_tuned AS finetuned_pred,
-           {_MARK.format('y_tuned')} AS finetuned_mark FROM ranked
-         WHERE rk <= greatest(1, round_even(n * (CAST(20 AS DOUBLE) / total), 0))""")
+_SAMPLES = f"""WITH {PRED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY
+       md5('43:' || CAST(ticket_id AS VARCHAR)), ticket_id) AS rk, count(*) OVER (PARTITION BY y_true) AS n,
+       count(*) OVER () AS total FROM wide),
+     shown AS (SELECT ticket_id, substr(text, 1, 140) AS text, y_true, y_base AS base_pred,
+       {_MARK.format('y_base')} AS base_mark, y_tuned AS finetuned_pred,
+       {_MARK.format('y_tuned')} AS finetuned_mark FROM ranked
+     WHERE rk <= greatest(1, round_even(n * (CAST(20 AS DOUBLE) / total), 0)))"""
+register("variant_samples", _samples, f"{_SAMPLES} SELECT * FROM shown")
+register("report_samples", lambda s, d: read_report_samples(s, _report_path(s, d)),
+         f"{_SAMPLES} SELECT CAST(row_number() OVER (ORDER BY ticket_id) - 1 AS INT) AS position, "
+         "* EXCLUDE (ticket_id) FROM shown")
 
 
 def _training_log(s, d):
@@ -205,7 +215,24 @@ def _logistic(s, d):
     return c.score_queues(test, c.train_queue_classifier(train))
 
 
+def _logistic_facts(s, d):
+    """What every classifier must answer, whatever it has learned."""
+    train, _ = _parts(s, d)
+    known = train.select(F.col("label").alias("learned")).distinct()
+    return (_logistic(s, d).join(known, F.col("label") == F.col("learned"), "left")
+            .select("ticket_id", "variant", "error", F.col("learned").isNotNull().alias("answered"),
+                    (F.col("label").isNull() == F.col("confidence").isNull()).alias("consistent"),
+                    F.coalesce(F.col("confidence").between(0, 1), F.lit(True)).alias("bounded")))
+
+
 register("score_queues", _logistic)
+register("score_queues_facts", _logistic_facts,
+         f"""WITH {PRED}, ranked AS (SELECT ticket_id, {b.strip_sql('text')} AS t, row_number() OVER (PARTITION BY y_true
+           ORDER BY md5('42:' || CAST(ticket_id AS VARCHAR)), ticket_id) AS rk, count(*) OVER (PARTITION BY y_true) AS n
+           FROM wide)
+         SELECT ticket_id, 'finetuned' AS variant, CASE WHEN t = '' THEN '{c.EMPTY_TEXT}' END AS error,
+           t <> '' AS answered, true AS consistent, true AS bounded FROM ranked
+         WHERE rk <= greatest(1, round_even(n * 0.15, 0))""")
 
 # --- digests and metered calls --------------------------------------------------------
 

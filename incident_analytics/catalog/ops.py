@@ -8,9 +8,11 @@ from ..functions.logs import request_error, request_key, version_stamp
 from ..functions.text import approx_tokens
 from ..operators import opslog as o
 from ..operators.cache_ttl import cache_table, ttl_requests
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.stores import append_request_log, read_request_log
 from ..streaming.late import count_late_rows
+from ..streaming.latency_tails import (ERROR, estimated_tails, exact_tails, latency_histogram_stream,
+                                       trailing_brackets)
 from ..streaming.ops_stream import (ops_summary_stream, request_volume_stream, run_available,
                                     trailing_summary_stream)
 from ..streaming.ttl_stream import ttl_requests_stream
@@ -223,6 +225,29 @@ register("trailing_summary_stream",
          SELECT {_TEXT.format("date_trunc('hour', ts) - to_hours(back)")} AS window_start, {_STREAM_TOTALS}
          FROM w GROUP BY date_trunc('hour', ts) - to_hours(back)
          HAVING date_trunc('hour', ts) - to_hours(back) + INTERVAL 6 HOUR <= {_MARK.format('log')}""")
+
+
+def _trailing_tails(s, d):
+    """Exact percentiles, and whether the stored histograms alone come within their error of them."""
+    stored = run_available(latency_histogram_stream(log_stream(s, d)), "latency-levels")
+    brackets = materialize(trailing_brackets(stored), "latency-brackets")
+    log = b.unpriced_log(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    near = lambda t: (F.abs(F.col(f"e.{t}") - F.col(t)) <= F.col(t) * (ERROR / 2) + 1e-3).alias(f"{t}_near")
+    keys = ["window_start", "window_end", "subtask", "requests"]
+    guess = estimated_tails(brackets).select(*keys, F.struct("p50", "p95").alias("e"))
+    return _closed(exact_tails(log, brackets).join(guess, keys).select(
+        *keys, "p50", "p95", near("p50"), near("p95")))
+
+
+_RANK = "list(latency_ms ORDER BY latency_ms)[(count(*) * {0} + 99) // 100]"
+register("trailing_tails_stream", _trailing_tails,
+         f"""WITH {LOG}, h AS (SELECT *, date_trunc('hour', ts) AS hour FROM log WHERE latency_ms IS NOT NULL),
+         closed AS (SELECT max(hour) + INTERVAL 1 HOUR AS until FROM h
+           WHERE hour + INTERVAL 1 HOUR <= {_MARK.format('h')}),
+         w AS (SELECT subtask, latency_ms, hour - to_hours(unnest(generate_series(0, 5))) AS start FROM h)
+         SELECT {_TEXT.format("start")} AS window_start, subtask, {_N} AS requests, {_RANK.format(50)} AS p50,
+           {_RANK.format(95)} AS p95, true AS p50_near, true AS p95_near FROM w
+         WHERE start + INTERVAL 6 HOUR <= (SELECT until FROM closed) GROUP BY start, subtask""")
 register("ttl_requests_stream",
          lambda s, d: run_available(ttl_requests_stream(log_stream(s, d), _KEYS), "ttl"),
          _CHAIN + " SELECT id, hit FROM decided")

@@ -97,7 +97,10 @@ register("embed_corpus",
          lambda s, d: r.embed_corpus(b.documents(s, d)).select(
              "doc_id", F.size("embedding").alias("dim"),
              F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 3)
-             .alias("squared_norm")))
+             .alias("squared_norm")),
+         # a text without a word is the zero vector, every other one a unit vector
+         r"""SELECT doc_id, 384 AS dim, CASE WHEN regexp_matches(lower(text), '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE
+         AS squared_norm FROM documents""")
 
 # --- procedures and prompts ---------------------------------------------------------
 

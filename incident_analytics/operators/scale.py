@@ -120,7 +120,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str | Column,
             .withColumn("__upto", F.sum("__bn").over(running))
             .withColumn("__total", F.sum("__bn").over(per_key)))
     wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("__p"), _nearest_rank(pct).alias("__r"))
+        F.struct(F.lit(name).alias("__p"), nearest_rank(F.col("__total"), pct).alias("__r"))
         for name, pct in probs.items()]))
     picks = (hist.select("*", wanted.alias("__w"))
              .select(*grouped, "__b", F.col("__w.__p").alias("__p"),
@@ -137,13 +137,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str | Column,
         F.min(F.when(F.col("__p") == name, F.col("__v"))).alias(name) for name in probs])
 
 
-def _nearest_rank(pct: float) -> Column:
+def nearest_rank(total: Column, pct: float) -> Column:
+    """The rank of a percentage among ``total`` values: 1 for 0 and below, all for 100 and above."""
     if pct <= 0:
         return F.lit(1).cast("bigint")
     if pct >= 100:
-        return F.col("__total")
+        return total
     # Multiplied as decimals so that 95 % of 100 is 95 and never 95.00000000000001.
-    rank = F.ceil(F.col("__total").cast("decimal(20,0)") * F.lit(str(pct)).cast("decimal(9,6)") / 100)
+    rank = F.ceil(total.cast("decimal(20,0)") * F.lit(str(pct)).cast("decimal(9,6)") / 100)
     return F.greatest(F.lit(1).cast("bigint"), rank.cast("bigint"))
 
 

@@ -98,7 +98,20 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("r"))
                                for v in ("base", "finetuned")]))
     return (report.select(rows.alias("x")).where("x.r IS NOT NULL")
-            .select("x.variant", "x.r.eval_rows", "x.r.accuracy", "x.r.f1_macro", "x.r.per_class"))
+            .select("x.variant", "x.r.model_source", "x.r.eval_rows", "x.r.accuracy", "x.r.f1_macro",
+                    "x.r.per_class"))
+
+
+def read_report_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The sample predictions of a comparison report, one row each, with right/wrong marks.
+
+    ``position`` is the place in the report; a report without samples gives no row.
+    """
+    report = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", "true").json(path)
+    mark = lambda c: F.when(F.col(c) == F.col("y_true"), "right").otherwise("wrong")
+    return (report.select(F.posexplode("samples").alias("position", "x"))
+            .select("position", "x.text", F.col("x.true").alias("y_true"), "x.base_pred", "x.finetuned_pred")
+            .withColumns({"base_mark": mark("base_pred"), "finetuned_mark": mark("finetuned_pred")}))
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,8 @@ from ..session import scratch_path
 DELAY = "2 minutes"
 
 
-def _bounds(df: DataFrame) -> DataFrame:
+def window_bounds(df: DataFrame) -> DataFrame:
+    """The column ``window`` as plain ``window_start`` and ``window_end``."""
     rest = [c for c in df.columns if c != "window"]
     return df.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                      F.col("window.end").cast("timestamp_ntz").alias("window_end"), *rest)
@@ -34,7 +35,7 @@ def _rates() -> list[Column]:
 
 def request_volume_stream(stream: DataFrame, bucket: str = "1 minute", delay: str = DELAY) -> DataFrame:
     """Calls per tumbling window and subtask, without feedback."""
-    return _bounds(no_feedback(stream).withWatermark("ts", delay)
+    return window_bounds(no_feedback(stream).withWatermark("ts", delay)
                    .groupBy(F.window("ts", bucket), "subtask").agg(F.count(F.lit(1)).alias("calls")))
 
 
@@ -47,14 +48,14 @@ def ops_summary_stream(stream: DataFrame, bucket: str = "1 hour", delay: str = D
     """
     tails = [F.percentile_approx("latency_ms", p, accuracy).alias(name)
              for name, p in (("latency_p50_ms", 0.5), ("latency_p95_ms", 0.95))]
-    return _bounds(stream.withWatermark("ts", delay)
+    return window_bounds(stream.withWatermark("ts", delay)
                    .groupBy(F.window("ts", bucket), "subtask").agg(*_rates(), *tails))
 
 
 def trailing_summary_stream(stream: DataFrame, span: str = "6 hours", slide: str = "1 hour",
                             delay: str = DELAY) -> DataFrame:
     """The totals of the last ``span``, renewed every ``slide``."""
-    return _bounds(stream.withWatermark("ts", delay).groupBy(F.window("ts", span, slide)).agg(*_rates()))
+    return window_bounds(stream.withWatermark("ts", delay).groupBy(F.window("ts", span, slide)).agg(*_rates()))
 
 
 def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
