@@ -281,13 +281,12 @@ register("metered_apply",
 # --- the journey ------------------------------------------------------------------------
 
 
-def _opening_messages(s, d):
-    """The first user message of every conversation is an incident."""
+def _told_incidents(s, d):
+    """All user messages of a conversation, in order, are an incident."""
     users = b.table(s, d, "conversations").where("role = 'user'")
-    first = users.groupBy("conv_id").agg(F.min("turn").alias("turn"))
-    return (users.join(first, ["conv_id", "turn"], "left_semi")
-            .select(F.col("conv_id").alias("query_id"), F.col("text").alias("incident"),
-                    F.lit("stepwise").alias("style")))
+    told = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    return (users.groupBy(F.col("conv_id").alias("query_id")).agg(told.alias("m"))
+            .select("query_id", F.array_join(F.col("m.text"), "\n").alias("incident"), F.lit("stepwise").alias("style")))
 
 
 def _journey(s, d):
@@ -301,7 +300,22 @@ def _journey(s, d):
         F.col("text").alias("sop_text"))
     models = JourneyModels(c.train_queue_classifier(labelled, num_features=1 << 12, max_iter=10), encoder)
     stored = materialize(kb.drop("incident"), "journey-kb")
-    return incident_journey(_opening_messages(s, d), stored, pages, models)
+    return incident_journey(_told_incidents(s, d), stored, pages, models)
+
+
+def _journey_facts(s, d):
+    """What holds for every incident, whatever the models have learned."""
+    known = b.documents(s, d).select(F.col("lang").alias("known")).distinct()
+    return (_journey(s, d).join(known, F.col("category") == F.col("known"), "left")
+            .select("query_id", "error", F.col("known").isNotNull().alias("routed"),
+                    F.regexp_extract("prompt", "(?s)^NEW INCIDENT:\n(.*?)\n\nRouted to queue: ", 1).alias("told"),
+                    (F.size(F.filter(F.split("grounded_on", ","), lambda x: x != "")) <= 3).alias("few_hits"),
+                    ((F.col("resolution") != "") & (F.col("summary") != "")).alias("answered")))
 
 
 register("incident_journey", _journey)
+register("incident_journey_facts", _journey_facts,
+         f"""WITH t AS (SELECT conv_id AS query_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS body
+           FROM conversations WHERE role = 'user' GROUP BY 1)
+         SELECT query_id, CAST(NULL AS VARCHAR) AS error, true AS routed, {b.strip_sql('body')} AS told, true AS few_hits,
+           true AS answered FROM t""")

@@ -8,6 +8,8 @@ from ..functions.logs import day_bucket, json_field
 from ..functions.text import thread_title
 from ..operators import attachments as a
 from ..operators import conversations as v
+from ..session import scratch_path
+from ..sources.stores import read_attachments
 from . import bindings as b
 from .bindings import AS_OF, MESSAGES, THREADS, strip_sql
 
@@ -115,6 +117,25 @@ register("extract_attachments",
          f"WITH {_FILES} SELECT * FROM attached")
 
 
+def _attached_files(s, d):
+    """Pages written as text files of sixteen pages each, read back as attachments."""
+    path = scratch_path(s, "attachments")
+    pages = b.table(s, d, "pages").select(
+        F.floor(F.col("page_id") / 16).cast("bigint").alias("part"), "page_id",
+        F.coalesce("html", F.lit("")).alias("value"))
+    (pages.repartition("part").sortWithinPartitions("part", "page_id").select("part", "value")
+     .write.partitionBy("part").text(path))
+    return read_attachments(s, path).select(
+        F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part"),
+        F.endswith("filename", F.lit(".txt")).alias("named"), "attachment.*")
+
+
+register("read_attachments", _attached_files,
+         f"""WITH f AS (SELECT page_id // 16 AS part, string_agg(coalesce(html, ''), chr(10) ORDER BY page_id) AS body
+         FROM pages GROUP BY 1), t AS (SELECT part, {strip_sql('body')} AS text FROM f)
+         SELECT part, true AS named, 'text' AS kind, CAST(length(text) AS INT) AS chars, text, '' AS note FROM t""")
+
+
 def _merged(s, d):
     found = a.extract_attachments(_files(s, d)).withColumnRenamed("page_id", "incident_id")
     texts = b.table(s, d, "documents").select(F.col("doc_id").alias("incident_id"), F.col("text").alias("incident"))

@@ -20,32 +20,61 @@ _CALLED = ("__key string, output string, status string, error string, latency_ms
            "used_in bigint, used_out bigint")
 
 
-def _call(fn: Callable[..., Result], payload: Sequence[str]):
+_CALLED_COLUMNS = ["__key", "output", "status", "error", "latency_ms", "used_in", "used_out"]
+
+
+def _timed(call: Callable[[], object]) -> tuple[object, str | None, float]:
+    """The result of a call, or its error as text, and its milliseconds."""
+    start = time.perf_counter()
+    result = error = None
+    try:
+        result = call()
+    except Exception as exc:  # captured per payload, never fails the job
+        error = f"{type(exc).__name__}: {exc}"
+    return result, error, (time.perf_counter() - start) * 1000.0
+
+
+def _answer(key: str, result: object, error: str | None, elapsed: float) -> tuple:
+    output, used_in, used_out = result if isinstance(result, tuple) else (result, None, None)
+    return key, output, "error" if error else "ok", error, round(elapsed, 3), used_in, used_out
+
+
+def _one_by_one(fn: Callable[..., Result]):
+    return lambda batch: [_answer(row[0], *_timed(lambda: fn(*row[1:]))) for row in batch.itertuples(index=False)]
+
+
+def _together(fn: Callable[[pd.DataFrame], Sequence[Result]]):
+    """One call per batch; where it fails, every payload is called alone, so only the bad ones fail."""
+    def answers(batch: pd.DataFrame) -> list[tuple]:
+        def checked() -> list[Result]:
+            results = list(fn(batch.drop(columns="__key").reset_index(drop=True)))
+            if len(results) != len(batch):
+                raise ValueError(f"{len(results)} results for {len(batch)} payloads")
+            return results
+        results, error, elapsed = _timed(checked)
+        if error and len(batch) > 1:
+            return [row for i in range(len(batch)) for row in answers(batch.iloc[i:i + 1])]
+        share = elapsed / max(len(batch), 1)
+        return [_answer(k, r, error, share) for k, r in zip(batch["__key"], results or [None] * len(batch))]
+    return answers
+
+
+def _call(answers: Callable[[pd.DataFrame], list[tuple]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                start = time.perf_counter()
-                output = error = used_in = used_out = None
-                try:
-                    output = fn(*row[1:])
-                    if isinstance(output, tuple):
-                        output, used_in, used_out = output
-                except Exception as exc:  # captured per payload, never fails the job
-                    error = f"{type(exc).__name__}: {exc}"
-                elapsed = round((time.perf_counter() - start) * 1000.0, 3)
-                rows.append((row[0], output, "error" if error else "ok", error, elapsed,
-                             used_in, used_out))
-            yield pd.DataFrame(rows, columns=["__key", "output", "status", "error", "latency_ms",
-                                              "used_in", "used_out"]).astype(
+            yield pd.DataFrame(answers(batch), columns=_CALLED_COLUMNS).astype(
                 {"used_in": "Int64", "used_out": "Int64"})
     return run
 
 
 def apply_metered(df: DataFrame, fn: Callable[..., Result], subtask: str, model: str,
-                  payload_cols: Sequence[str], id_col: str = "id") -> DataFrame:
+                  payload_cols: Sequence[str], id_col: str = "id", batched: bool = False) -> DataFrame:
     """Call ``fn(*payload)`` once per distinct payload and give every row its envelope.
 
+    With ``batched``, ``fn`` takes a pandas frame of payloads and returns one result
+    per row; a batch that fails is called again payload by payload, and the latency
+    of a batch is shared equally by its rows.
+
     ``fn`` returns the output text, or (output, tokens_in, tokens_out) when it
     knows its usage; otherwise tokens are estimated from the lengths.  The first
     row (by id) of a payload made the call; later rows with a successful result
@@ -62,7 +91,7 @@ def apply_metered(df: DataFrame, fn: Callable[..., Result], subtask: str, model:
     calls = keyed.join(firsts.select("__key", F.col("__first").alias(id_col)), ["__key", id_col],
                        "left_semi")
     results = materialize(
-        calls.select("__key", *payload_cols).mapInPandas(_call(fn, payload_cols), _CALLED), "metered-calls")
+        calls.select("__key", *payload_cols).mapInPandas(_call((_together if batched else _one_by_one)(fn)), _CALLED), "metered-calls")
     answered = results.join(firsts.select("__key", "__first"), "__key")
     rows = salted_join(keyed, answered, "__key", heavy_keys(firsts, "__key", "__n"), F.col(id_col))
     text = F.concat_ws(" ", *[F.col(c).cast("string") for c in payload_cols])

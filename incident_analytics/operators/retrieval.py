@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..constants import SIMILARITY_THRESHOLD, SNIPPET_CHARS, TOP_K
 from ..session import materialize
@@ -35,14 +36,30 @@ def fit_text_encoder(df: DataFrame, text_col: str = "text", dim: int = 384) -> P
     ]).fit(df.select(text_col))
 
 
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    wide = np.asarray(matrix, dtype=np.float64)
+    norms = np.linalg.norm(wide, axis=1, keepdims=True)
+    return np.divide(wide, norms, out=np.zeros_like(wide), where=norms > 0).astype(np.float32)
+
+
 def embed_corpus(df: DataFrame, text_col: str = "text", encoder: Encoder | None = None,
-                 model: PipelineModel | None = None, dim: int = 384) -> DataFrame:
+                 model: PipelineModel | None = None, dim: int = 384,
+                 load_encoder: Callable[[], Encoder] | None = None, batch_size: int = 256) -> DataFrame:
     """Add ``embedding``: a unit ARRAY<FLOAT> per text (a zero vector stays zero).
 
     Without an ``encoder`` the JVM-side hashed tf-idf model is used (fitted here,
     or passed in so that queries and corpus share one).  An encoder maps a series
-    of texts to a matrix; it is called once per Arrow batch.
+    of texts to a matrix; it is called once per Arrow batch.  ``load_encoder`` makes an
+    encoder where it runs: it is called once per Python worker, so weights are read
+    there and never pickled, and its encoder gets arrays of at most ``batch_size`` texts.
     """
+    if load_encoder is not None:
+        def make():
+            encode_texts = load_encoder()
+            return lambda texts: _unit_rows(encode_texts(texts))
+
+        loaded = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size)
+        return df.withColumn("embedding", loaded(F.coalesce(F.col(text_col), F.lit(""))))
     if encoder is None:
         fitted = model or fit_text_encoder(df, text_col, dim)
         return (fitted.transform(df)
@@ -51,10 +68,7 @@ def embed_corpus(df: DataFrame, text_col: str = "text", encoder: Encoder | None
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
-        matrix = np.asarray(encoder(texts), dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        return pd.Series(list(unit.astype(np.float32)))
+        return pd.Series(list(_unit_rows(encoder(texts))))
 
     return df.withColumn("embedding", encode(F.col(text_col)))
 

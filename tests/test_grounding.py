@@ -50,6 +50,62 @@ def test_custom_encoder_gives_unit_vectors(spark):
     assert abs(got[1][0] ** 2 + got[1][1] ** 2 - 1) < 1e-6 and got[2] == [0.0, 0.0]
 
 
+def test_encoder_is_loaded_where_it_runs(spark, tmp_path):
+    """The loader makes something that cannot be pickled, once per worker process, not once per batch."""
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import threading
+        import uuid
+        lock = threading.Lock()  # stands for weights: no pickle of it exists
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def encode(texts):
+            with lock:
+                return np.array([[float(len(t)), 3.0] if t else [0.0, 0.0] for t in texts])
+        return encode
+
+    df = spark.range(400).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("a"), F.col("id").cast("int") % 7))
+                                 .otherwise(F.lit(None)).alias("text")).repartition(4)
+    got = {r.id: r.embedding for r in embed_corpus(df, load_encoder=load, batch_size=16).collect()}
+    assert got[7] == [0.0, 0.0] and abs(got[4][0] - 0.8) < 1e-6 and abs(got[4][1] - 0.6) < 1e-6
+    loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert 1 <= len(loads) <= 8 and len(loads) == len(set(loads))
+
+
+def test_pdfs_by_the_callers_reader(spark):
+    def reader(data):
+        if not data.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return [page.decode() for page in data[4:].split(b"|")]
+
+    files = spark.createDataFrame([(1, "a.PDF", b"%PDFone| two "), (2, "b.pdf", b"nothing"), (3, "c.txt", b" plain "),
+                                   (4, "d.pdf", None)], "id int, filename string, content binary")
+    got = {r.id: tuple(r.attachment) for r in a.extract_attachments(files, max_chars=5, pdf_reader=reader).collect()}
+    assert got[1] == ("pdf", 8, "one\n ", "text of 2 PDF page(s)")
+    assert got[2] == ("error", 0, "", "PDF not readable: ValueError")
+    assert got[3] == ("text", 5, "plain", "") and got[4][:3] == ("pdf", 0, "")
+    assert a.extract_attachments(files).columns == a.extract_attachments(files, pdf_reader=reader).columns
+
+
+def test_metered_batches_equal_single_calls(spark):
+    def one(text):
+        if text == "bad":
+            raise ValueError("bad text")
+        return text.upper(), 2, 3
+
+    def many(frame):
+        return [one(t) for t in frame["text"]]
+
+    df = spark.createDataFrame([(i, ["x", "y", "bad", "z"][i % 4]) for i in range(40)], "id bigint, text string")
+    timeless = lambda out: sorted(map(tuple, out.drop("latency_ms").collect()))
+    single = timeless(apply_metered(df, one, "t", "m", ["text"]))
+    assert timeless(apply_metered(df, many, "t", "m", ["text"], batched=True)) == single
+    short = apply_metered(df, lambda frame: ["only one"], "t", "m", ["text"], batched=True)
+    assert short.where("status = 'ok'").count() == 40  # called one by one, every answer fits
+
+
 def test_prompts_golden(spark, tmp_path):
     (tmp_path / "it_support.md").write_text("SOP for IT Support\nTriage first", encoding="utf-8")
     sops = read_sops(spark, str(tmp_path), "*.md")
