@@ -190,6 +190,9 @@ register("balance_to_median", lambda s, d: m.balance_to_median(b.uneven_tickets(
 register("label_index", lambda s, d: m.label_index(b.tickets(s, d)),
          f"""WITH {TICKETS} SELECT category AS label, CAST(row_number() OVER (ORDER BY category) - 1 AS BIGINT)
          AS label_id FROM (SELECT DISTINCT category FROM tickets)""")
+register("resolve_labels",
+         lambda s, d: m.resolve_labels(s, b.tickets(s, d).select("category").where(F.lit(False)), b.tickets(s, d)),
+         ORACLES["label_index"])
 _LANGS = ["de", "en", "fr", "fr-x"]
 _TRAIN = f"""WITH {UNEVEN}, known AS (SELECT * FROM tickets WHERE category IN ('de', 'en', 'fr', 'fr-x')),
   sized AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_HASH}, ticket_id) AS rk,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_QUEUES, SEED, TEST_FRACTION, TRAIN_MAX_ROWS
@@ -181,17 +181,17 @@ def label_index(df: DataFrame, category: str = "category") -> DataFrame:
             .select("label", (F.col("__k") - 1 + F.col("__before")).cast("bigint").alias("label_id")))
 
 
-def resolve_labels(saved: DataFrame | None = None, train: DataFrame | None = None,
-                   default: Sequence[str] = DEFAULT_QUEUES, category: str = "category") -> list[str]:
-    """Labels of a classifier in sorted order: the saved ones, else those of the
-    training rows, else the given default; an empty source counts as missing."""
+def resolve_labels(spark: SparkSession, saved: DataFrame | None = None, train: DataFrame | None = None,
+                   default: Sequence[str] = DEFAULT_QUEUES, category: str = "category") -> DataFrame:
+    """(label, label_id) of a classifier: the saved labels, else those of the training
+    rows, else the given default; an empty source counts as missing."""
     for source in (saved, train):
         if source is not None:
             column = category if category in source.columns else source.columns[0]
-            found = [r[0] for r in source.select(column).where(F.col(column).isNotNull()).distinct().collect()]
-            if found:
-                return sorted(found)
-    return sorted(default)
+            found = label_index(source, column)
+            if not found.isEmpty():
+                return found
+    return _given_labels(spark, default)
 
 
 def known_labels_filter(df: DataFrame, labels: DataFrame | Sequence[str],
@@ -238,15 +238,15 @@ def training_set(df: DataFrame, labels: DataFrame | Sequence[str] | None = None,
 
         known = _take(known, id_col, category, seed, quota)
     ids = (label_index(known, category) if labels is None
-           else _given_labels(df, labels)).withColumnRenamed("label", category)
+           else _given_labels(df.sparkSession, labels)).withColumnRenamed("label", category)
     return (known.join(broadcast_if(ids, fits_broadcast(ids)), category)
             .select(id_col, classifier_text(F.col("title"), F.col("description")).alias("text"),
                     category, "label_id"))
 
 
-def _given_labels(df: DataFrame, labels: DataFrame | Sequence[str]) -> DataFrame:
+def _given_labels(spark: SparkSession, labels: DataFrame | Sequence[str]) -> DataFrame:
     if isinstance(labels, DataFrame):
         return label_index(labels.select(F.col(labels.columns[0]).alias("label")), "label")
     rows = [F.struct(F.lit(name).alias("label"), F.lit(i).cast("bigint").alias("label_id"))
             for i, name in enumerate(sorted(labels))]
-    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    return spark.range(1).select(F.inline(F.array(*rows)))

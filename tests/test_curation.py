@@ -170,3 +170,14 @@ def test_kb_as_csv_and_required_columns(spark):
     assert read_kb(spark, path, fmt="csv").count() == 120
     with pytest.raises(ValueError, match="resolution"):
         read_kb(spark, path, ["resolution"], "csv")
+
+
+def test_labels_come_from_the_first_source_that_has_any(spark):
+    table = lambda *names: spark.createDataFrame([(n,) for n in names], "category string")
+    pairs = lambda df: sorted((r.label_id, r.label) for r in df.collect())
+    empty, train = table().limit(0), table("b", "a", None, "b")
+    saved = table("z", "y").withColumnRenamed("category", "name")
+    assert pairs(m.resolve_labels(spark, saved, train)) == [(0, "y"), (1, "z")]
+    assert pairs(m.resolve_labels(spark, empty, train)) == [(0, "a"), (1, "b")]
+    assert pairs(m.resolve_labels(spark, empty, table(None), ["q", "p"])) == [(0, "p"), (1, "q")]
+    assert pairs(m.resolve_labels(spark, default=["only"])) == [(0, "only")]
