@@ -21,6 +21,7 @@ from .scale import fits_broadcast, heavy_keys, salted_join
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 EMPTY_TEXT = "ValueError: empty text"
 VOCABULARY_ROWS = 500_000
+LABELS_PER_ROW = 64
 
 
 def tokens(text: Column) -> Column:
@@ -55,40 +56,69 @@ def score_queue_nb(df: DataFrame, model: NaiveBayesTables, id_col: str = "ticket
     """(id, label, confidence, variant, error) for every row of ``df``.
 
     score(c) = ln P(c) + sum over tokens of ln(n_tc + 1) - tokens * ln(T_c + V).
-    A model counted to fit is broadcast; token rows meet a larger one in an
-    equi-join with frequent tokens salted.  Only counts present in the model are
-    joined; absent ones add ln 1 = 0.
+    The classes are an axis and not rows: a token carries the weights of up to
+    ``LABELS_PER_ROW`` classes as one array, and a text adds them up element by
+    element, so a text is one row per block of classes.  A model counted to fit
+    is broadcast; token rows meet a larger one in an equi-join with frequent
+    tokens salted.  An unknown token and an absent count add ln 1 = 0.
     """
     rows = df.select(F.col(id_col).alias("__id"), stripped(F.col(text)).alias("__text"))
-    filled = rows.where(F.col("__text") != "").withColumn("__tokens", tokens(F.col("__text")))
     vocabulary = model.token_counts.select(F.countDistinct("token")).scalar()
     docs = model.class_stats.agg(F.sum("docs")).scalar()
-    # One array with all classes: every text is scored under every class.
-    classes = model.class_stats.agg(F.collect_list(F.struct(
+    classes = model.class_stats.agg(F.sort_array(F.collect_list(F.struct(
         "label", F.log(F.col("docs") / docs).alias("prior"),
-        F.log(F.col("n_tokens") + vocabulary).alias("norm")))).scalar()
-    base = (filled.withColumn("__c", F.explode(classes))
-            .select("__id", F.col("__c.label").alias("label"),
-                    (F.col("__c.prior") - F.size("__tokens") * F.col("__c.norm")).alias("s")))
-    words = (filled.select("__id", F.explode_outer("__tokens").alias("token"))
-             .where("token IS NOT NULL").groupBy("__id", "token").agg(F.count(F.lit(1)).alias("tf")))
-    weights = model.token_counts.select("token", "label", F.log(F.col("n") + 1.0).alias("w"))
-    if fits_broadcast(weights, vocabulary_rows):
-        weighted = words.join(F.broadcast(weights), "token")
+        F.log(F.col("n_tokens") + vocabulary).alias("norm"))))).scalar()
+    n_classes = max(1, model.class_stats.count())
+    width = min(n_classes, LABELS_PER_ROW)
+    blocks = -(-n_classes // width)
+
+    weights = _weights_by_token(model, width)
+    key = F.struct(F.col("__block"), F.col("token")).alias("__key")
+    # No token is the empty string, so a text without tokens keeps a row that finds no weights.
+    words = (rows.where(F.col("__text") != "")
+             .select("__id", F.explode_outer(tokens(F.col("__text"))).alias("token"))
+             .select("__id", F.coalesce("token", F.lit("")).alias("token"),
+                     F.col("token").isNotNull().cast("bigint").alias("tf"))
+             .withColumn("__block", F.explode(F.array(*[F.lit(i) for i in range(blocks)]))))
+    if fits_broadcast(weights, vocabulary_rows // width):
+        weighted = words.select("__id", "__block", "tf", key).join(
+            F.broadcast(weights.select(key, "__w")), "__key", "left")
     else:
-        frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        weighted = salted_join(words, weights, "token", heavy_keys(frequency, "token", "df"), F.col("__id"))
-    evidence = weighted.select("__id", "label", (F.col("tf") * F.col("w")).alias("s"))
-    scored = (base.unionByName(evidence).groupBy("__id", "label")
-              .agg(F.round(F.sum("s"), 6).alias("s")))
-    ranked = scored.groupBy("__id").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("s")).alias("neg"), "label"))).alias("r"))
-    best = F.col("r")[0]
-    mass = F.aggregate("r", F.lit(0.0), lambda acc, x: acc + F.exp(best["neg"] - x["neg"]))
-    out = ranked.select("__id", best["label"].alias("label"), F.round(1 / mass, 4).alias("confidence"))
+        counted = words.groupBy("__id", "__block", "token").agg(F.sum("tf").alias("tf"))
+        keyed = counted.select("__id", "__block", "tf", key)
+        frequency = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("df"))
+        weighted = salted_join(keyed, weights.select(key, "__w"), "__key",
+                               heavy_keys(frequency, "__key", "df"), F.col("__id"), how="left")
+    sums = F.array(*[F.coalesce(F.sum(F.col("tf") * F.col("__w")[i]), F.lit(0.0)) for i in range(width)])
+    added = weighted.groupBy("__id", "__block").agg(sums.alias("__s"), F.sum("tf").alias("__n"))
+
+    def score(c: Column, i: Column) -> Column:
+        total = c["prior"] + F.get("__s", i) - F.col("__n") * c["norm"]
+        return F.struct((-F.round(total, 6)).alias("neg"), c["label"].alias("label"))
+
+    own = F.slice(classes, F.col("__block") * width + 1, width)
+    scored = added.withColumn("__own", own).select("__id", F.transform("__own", score).alias("r")).select(
+        "__id", F.array_min("r").alias("top"), "r").select(
+        "__id", "top", F.aggregate("r", F.lit(0.0), lambda acc, x: acc + F.exp(F.col("top")["neg"] - x["neg"]))
+        .alias("mass"))
+    best = F.col("top")
+    merged = scored.groupBy("__id").agg(F.min("top").alias("top"), F.collect_list(F.struct("top", "mass")).alias("b"))
+    mass = F.aggregate("b", F.lit(0.0), lambda acc, x: acc + x["mass"] * F.exp(best["neg"] - x["top"]["neg"]))
+    out = merged.select("__id", best["label"].alias("label"), F.round(1 / mass, 4).alias("confidence"))
     return _with_errors(rows, out, id_col, variant)
 
 
+def _weights_by_token(model: NaiveBayesTables, width: int) -> DataFrame:
+    """(token, __block, __w): the weights of one block of classes, classes in the order of their labels."""
+    places = model.class_stats.agg(F.sort_array(F.collect_list(F.struct("label"))).alias("l")).select(
+        F.posexplode("l").alias("__c", "__l")).select("__c", F.col("__l.label").alias("__label"))
+    placed = model.token_counts.join(places, F.col("label").eqNullSafe(F.col("__label"))).select(
+        "token", F.floor(F.col("__c") / width).cast("int").alias("__block"), (F.col("__c") % width).alias("__i"),
+        F.log(F.col("n") + 1.0).alias("w"))
+    dense = F.array(*[F.coalesce(F.sum(F.when(F.col("__i") == i, F.col("w"))), F.lit(0.0)) for i in range(width)])
+    return materialize(placed.groupBy("token", "__block").agg(dense.alias("__w")), "nb-weights")
+
+
 def score_class_prior(df: DataFrame, model: NaiveBayesTables, id_col: str = "ticket_id",
                       text: str = "text", variant: str = "base") -> DataFrame:
     """The baseline without task knowledge: always the most frequent label."""

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import collections
 import datetime as dt
+import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -87,3 +91,37 @@ def test_empty_text_gives_an_error_row_and_salting_changes_nothing(spark):
     assert got[2].label is None and got[2].error == c.EMPTY_TEXT
     salted = {r.ticket_id: r for r in c.score_queue_nb(test, model, vocabulary_rows=0).collect()}
     assert salted == got
+
+
+def test_naive_bayes_over_blocks_of_classes_against_a_plain_version(spark, monkeypatch):
+    """Five classes in blocks of two, a broadcast and a salted model, known, unknown and no tokens."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    train = [(" ".join(rng.choices(words, k=rng.randint(1, 9))), rng.choice("abcde")) for _ in range(60)]
+    texts = [" ".join(rng.choices([*words, "new"], k=rng.randint(1, 9))) for _ in range(40)] + ["new", "!?", " ", None]
+    model = c.train_queue_nb(spark.createDataFrame(train, "text string, label string"))
+    counts, n_words, n_docs = collections.Counter(), collections.Counter(), collections.Counter()
+    for text, label in train:
+        n_docs[label] += 1
+        n_words[label] += len(text.split())
+        counts.update((label, w) for w in text.split())
+    vocabulary = len({w for _, w in counts})
+
+    def plain(text):
+        found = re.findall(r"[a-z0-9]+", text)
+        s = {k: round(math.log(n_docs[k] / 60) + sum(math.log(counts[k, w] + 1) for w in found)
+                      - len(found) * math.log(n_words[k] + vocabulary), 6) for k in n_docs}
+        best = min(s, key=lambda k: (-s[k], k))
+        return best, round(1 / sum(math.exp(v - s[best]) for v in s.values()), 4)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id int, text string")
+    for width, rows in ((64, 1000), (2, 1000), (2, 0)):
+        monkeypatch.setattr(c, "LABELS_PER_ROW", width)
+        got = {r.ticket_id: r for r in c.score_queue_nb(df, model, vocabulary_rows=rows).collect()}
+        assert len(got) == len(texts)
+        for i, text in enumerate(texts):
+            if not (text or "").strip():
+                assert got[i].label is None and got[i].error == c.EMPTY_TEXT
+            else:
+                label, confidence = plain(text)
+                assert got[i].label == label and abs(got[i].confidence - confidence) < 2e-4
