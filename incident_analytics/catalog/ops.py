@@ -15,7 +15,7 @@ from ..streaming.latency_tails import (ERROR, estimated_tails, exact_tails, late
                                        trailing_brackets)
 from ..streaming.ops_stream import (ops_summary_stream, request_volume_stream, run_available,
                                     trailing_summary_stream)
-from ..streaming.ttl_stream import ttl_requests_stream
+from ..streaming.ttl_stream import ttl_requests_batches, ttl_requests_stream
 from . import bindings as b
 from .bindings import AS_OF, LOG
 
@@ -253,6 +253,21 @@ register("ttl_requests_stream",
          _CHAIN + " SELECT id, hit FROM decided")
 
 
+def _ttl_batches(s, d):
+    """The log in three parts, one after the other in time, a part per micro-batch."""
+    path = scratch_path(s, "ttl-log")
+    log = b.unpriced_log(s, d).select("id", *_KEYS, F.col("ts").cast("timestamp").alias("ts"))
+    bounds = log.agg(F.percentile_approx(F.unix_micros("ts"), [1 / 3, 2 / 3])).scalar()
+    part = F.when(F.unix_micros("ts") < bounds[0], 0).when(F.unix_micros("ts") < bounds[1], 1).otherwise(2)
+    for i in range(3):
+        log.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    stream = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return ttl_requests_batches(stream, _KEYS, scratch_path(s, "ttl-batches"))
+
+
+register("ttl_requests_batches", _ttl_batches, _CHAIN + " SELECT id, hit FROM decided")
+
+
 def _late(s, d):
     """The log arriving in four parts that each span the whole time, a part per micro-batch."""
     path = scratch_path(s, "late-log")

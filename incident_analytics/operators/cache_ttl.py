@@ -4,7 +4,8 @@ A request is a hit when the entry of its key was created at most ``ttl`` seconds
 ago; a miss (re)creates the entry.  Hits do not extend its life, so whether a
 request hits depends on all requests before it.  Two facts keep this distributed:
 misses of a key are more than ``ttl`` apart, and a key with few distinct times
-fits one task.  Keys with many are followed band by band (see ``_follow_hot``).
+fits one task.  Keys with many are followed by pointer jumping over "next miss" links
+between blocks of times (see ``_follow_hot``).
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CACHE_TTL_SECONDS
 from ..session import materialize
 
 MAX_KEY_ROWS = 1_000_000
+#: Quantiles of a hot key's times, a power of two; its blocks are whole runs of them.
+_GRID = 4096
+_NO_MISS = (1 << 63) - 1
 
 
 def next_misses(times: np.ndarray, ttl: int) -> np.ndarray:
@@ -39,70 +43,99 @@ def _follow_key(ttl: int):
     return follow
 
 
-def _follow_band(ttl: int):
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, width = int(pdf["__at"].iloc[0]), int(pdf["__w"].iloc[0])
-        times = np.unique(pdf["__us"].to_numpy(dtype=np.int64))
-        misses, last = [start], start
-        while True:
-            i = int(np.searchsorted(times, last + ttl, side="right"))
-            if i == len(times):
-                break
-            found = int(times[i])
-            # Only sound while nothing outside the band can lie in between.
-            if width < ttl and (found - start) // ttl != (last - start) // ttl + 1:
-                break
-            misses.append(found)
-            last = found
-        return pd.DataFrame({"__key": pdf["__key"].iloc[0], "__us": misses})
-    return follow
+def _leave_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per time of a block the first miss behind the block, if the time itself is a miss."""
+    pdf = pdf.sort_values("__us")
+    times, to = pdf["__us"].to_numpy(dtype=np.int64), np.array(pdf["__to"], dtype=np.int64)
+    inside = to <= times[-1]
+    at = np.searchsorted(times, to)
+    while inside.any():  # every step doubles the links that are followed
+        at_inside = at[inside]
+        to[inside], at[inside] = to[at_inside], at[at_inside]
+        inside = to <= times[-1]
+    return pd.DataFrame({"__key": pdf["__key"].iloc[0], "__us": times, "__to": to})
+
+
+def _last_not_above(grid: Column, value: Column) -> Column:
+    """Index of the last element of a rising array of at most ``_GRID`` that is not above ``value`` (0 if none)."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_GRID.bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(grid, at + step) <= value, at + step).otherwise(at))
 
 
-def _follow_hot(times: DataFrame, hot: DataFrame, ttl: int, max_rows: int) -> DataFrame:
+def _in_blocks(times: DataFrame, max_rows: int) -> DataFrame:
+    """Add ``__block``: the times of a key cut at its quantiles into blocks of about ``max_rows`` / 2."""
+    grids = materialize(times.groupBy("__key").agg(
+        F.percentile_approx("__us", [i / _GRID for i in range(_GRID)], 100_000).alias("__grid"),
+        F.least(F.lit(_GRID), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * 2 / max_rows))).alias("__blocks")),
+        "ttl-grids")
+    place = _last_not_above(F.col("__grid"), F.col("__us"))
+    block = F.floor(place * F.col("__blocks") / _GRID).cast("int")
+    return times.join(grids, "__key").select("__key", "__us", block.alias("__block"))
+
+
+def _next_miss_links(blocked: DataFrame, ttl: int) -> DataFrame:
+    """(__key, __us, __block, __to): the first time more than ``ttl`` later, NULL where there is none.
+
+    Every time also asks from where its entry ends.  Inside a block, times and
+    questions are walked backwards; a question behind the last time of its block
+    is answered by the first time of the next block.
+    """
+    ends = blocked.select("__key", (F.col("__us") + ttl).alias("__at"), F.col("__us").alias("__from"))
+    first = blocked.groupBy("__key", "__block").agg(F.min("__us").alias("__first"))
+    # A key has at most _GRID blocks; the end of an entry lies in the last one that starts by then.
+    starts = materialize(first.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__first", "__block"))).alias("s"))
+                         .select("__key", F.col("s.__first").alias("__firsts"), F.col("s.__block").alias("__numbers")),
+                         "ttl-starts")
+    asked = (ends.join(starts, "__key")
+             .withColumn("__p", _last_not_above(F.col("__firsts"), F.col("__at")))
+             .select("__key", "__at", "__from", F.get("__numbers", F.col("__p")).alias("__block"),
+                     F.get("__firsts", F.col("__p") + 1).alias("__behind")))
+    none = F.lit(None).cast("bigint")
+    events = blocked.select("__key", "__block", F.col("__us").alias("__at"), F.col("__us").alias("__time"),
+                            none.alias("__from"), none.alias("__behind")).unionByName(
+        asked.select("__key", "__block", "__at", none.alias("__time"), "__from", "__behind"))
+    # At equal times the question comes first on the way back: an entry still lives at its last instant.
+    back = (Window.partitionBy("__key", "__block").orderBy(F.desc("__at"), F.col("__time").asc_nulls_first())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    answered = events.withColumn("__next", F.last("__time", ignorenulls=True).over(back)).where("__from IS NOT NULL")
+    links = answered.select("__key", F.col("__from").alias("__us"), F.coalesce("__next", "__behind").alias("__to"))
+    return links.join(blocked, ["__key", "__us"]).select("__key", "__us", "__block", "__to")
+
+
+def _follow_hot(times: DataFrame, ttl: int, max_rows: int) -> DataFrame:
     """Misses of keys with more than ``max_rows`` distinct times.
 
-    From a known miss at time m, the following misses drift away from the grid
-    m + i * ttl only slowly when requests are dense.  So one round reads just the
-    requests whose phase against that grid is small: the band width is the
-    quantile of the phases that holds about ``max_rows`` requests, which bounds
-    the rows per task.  The round follows the chain until it would leave the band;
-    the next round starts at the miss after that, found by a distributed minimum.
-    Every round fixes at least one miss and none is guessed, so there are at most
-    (span of the key / ttl) rounds; dense keys need far fewer, because one band
-    then covers many lifetimes.  The state (one row
-    per hot key) and the misses are written to the shared folder between rounds.
+    Every time links to the first time after its lifetime: the next miss, if it
+    is one.  The times of a key are cut into blocks that fit a task; inside a
+    block the links are followed to the first time behind it, so that a link
+    leads from block to block.  Only times that some link leads to, and the first
+    one, can enter a block.  Among these the misses are found by pointer jumping:
+    a round adds the targets of the known misses and doubles the length of all
+    links, so n blocks take about log2(n) rounds, however many lifetimes they
+    hold.  At last each block is followed once from where it was entered.
+    Blocks, links and the state of each round are written to the shared folder.
     """
-    halvings = 24
-    phase = F.pmod(F.col("__us") - F.col("__at"), F.lit(ttl))
-    widths = F.percentile_approx("__phase", [2.0 ** -i for i in range(halvings)], 100_000)
-    level = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("__rows") / max_rows))) + 1
-    state = materialize(times.join(hot, "__key").groupBy("__key").agg(F.min("__us").alias("__at")),
-                        "ttl-state")
-    found = []
-    while not state.isEmpty():
-        # One row per hot key (at most rows / max_rows of them), read back from a file
-        # whose size the optimizer knows.
-        ahead = (times.join(state, "__key").where(F.col("__us") >= F.col("__at"))
-                 .withColumn("__phase", phase))
-        bands = materialize(
-            ahead.groupBy("__key").agg(widths.alias("__widths"), F.count(F.lit(1)).alias("__rows"))
-            .select("__key", F.when(F.col("__rows") <= max_rows, F.lit(ttl)).otherwise(F.element_at(
-                "__widths", F.least(level, F.lit(halvings)).cast("int"))).cast("bigint").alias("__w")),
-            "ttl-bands")
-        band = ahead.join(bands, "__key").where(F.col("__phase") <= F.col("__w"))
-        misses = materialize(
-            band.groupBy("__key").applyInPandas(_follow_band(ttl), "__key string, __us bigint"),
-            "ttl-misses")
-        found.append(misses)
-        last = misses.groupBy("__key").agg(F.max("__us").alias("__last"))
-        state = materialize(
-            times.join(materialize(last, "ttl-last"), "__key")
-            .where(F.col("__us") > F.col("__last") + ttl)
-            .groupBy("__key").agg(F.min("__us").alias("__at")), "ttl-state")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    blocked = materialize(_in_blocks(times, max_rows), "ttl-blocks")
+    links = materialize(_next_miss_links(blocked, ttl), "ttl-links")
+    end = F.lit(_NO_MISS)
+    leaving = materialize(
+        links.withColumn("__to", F.coalesce("__to", end)).groupBy("__key", "__block")
+        .applyInPandas(_leave_block, "__key string, __us bigint, __to bigint")
+        .where(F.col("__to") < end), "ttl-leaving")
+    known = materialize(blocked.groupBy("__key").agg(F.min("__us").alias("__us")), "ttl-known")
+    targets = leaving.select("__key", F.col("__to").alias("__us")).distinct()
+    jumps = materialize(leaving.join(targets.unionByName(known).distinct(), ["__key", "__us"], "left_semi"),
+                        "ttl-jumps")
+    while not jumps.isEmpty():
+        reached = known.join(jumps, ["__key", "__us"]).select("__key", F.col("__to").alias("__us"))
+        known = materialize(known.unionByName(reached).distinct(), "ttl-known")
+        onward = jumps.select("__key", F.col("__us").alias("__to"), F.col("__to").alias("__far"))
+        jumps = materialize(jumps.join(onward, ["__key", "__to"]).select("__key", "__us", F.col("__far").alias("__to")),
+                            "ttl-jumps")
+    # Misses only move on, so a block is entered once.
+    entered = known.join(blocked, ["__key", "__us"]).select("__key", "__block", F.col("__us").alias("__start"))
+    walked = blocked.join(materialize(entered, "ttl-entered"), ["__key", "__block"]).where(F.col("__us") >= F.col("__start"))
+    return walked.groupBy("__key", "__block").applyInPandas(_follow_key(ttl), "__key string, __us bigint")
 
 
 def entry_key(keys: Sequence[str]) -> Column:
@@ -133,7 +166,7 @@ def ttl_requests(df: DataFrame, keys: Sequence[str], ttl_seconds: int = CACHE_TT
     else:
         narrow, hot = materialize(narrow, "ttl-times"), materialize(hot, "ttl-hot")
         misses = _follow_cold(narrow.join(hot, "__key", "left_anti"), ttl).unionByName(
-            _follow_hot(narrow, hot, ttl, max_key_rows))
+            _follow_hot(narrow.join(hot, "__key", "left_semi"), ttl, max_key_rows))
     created = times.join(misses, ["__key", "__us"])
     if succeeded is None:
         rows = keyed.join(created, ["__key", "__us"], "left")
