@@ -9,6 +9,7 @@ from ..functions.text import thread_title
 from ..operators import attachments as a
 from ..operators import conversations as v
 from ..session import scratch_path
+from ..sources.deletion import delete_rows, read_live
 from ..sources.stores import read_attachments
 from . import bindings as b
 from .bindings import AS_OF, MESSAGES, THREADS, strip_sql
@@ -86,6 +87,19 @@ register("delete_threads", _deleted,
          f"""WITH {MESSAGES} SELECT conversation_id, CAST(1 AS BIGINT) AS n_threads, {_N} AS n_messages FROM messages
          WHERE conversation_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1""")
 
+
+def _deleted_files(s, d):
+    """Messages stored as files by conversation, then deleted in the files that hold them."""
+    path = scratch_path(s, "messages")
+    b.messages(s, d).repartitionByRange(16, "conversation_id").write.parquet(path)
+    delete_rows(s, path, b.table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("conversation_id")))
+    return read_live(s, path).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+register("delete_thread_files", _deleted_files,
+         f"""WITH {MESSAGES} SELECT conversation_id, {_N} AS n_messages FROM messages
+         WHERE conversation_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1""")
+
 # --- attachments ----------------------------------------------------------------------
 
 
