@@ -76,9 +76,12 @@ def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
     return sums.join(F.broadcast(total)).select(dimension, (F.pow("t", F.lit(temper)) / F.col("all")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
+         tolerance: float | None = None) -> DataFrame:
     """Cells with ``weight`` fitted to the target shares (columns: dimension, ``share``).
 
+    With a ``tolerance`` the rounds go on until every share is met within it, or
+    until a round comes no closer, as where the targets contradict each other.
     A step joins the cells with one factor per value of the dimension; each round
     is written to the shared folder, so the plan does not grow with the rounds.
     """
@@ -87,7 +90,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         now = now.join(target.withColumnRenamed("share", f"target_{dimension}"), dimension, "left") \
             .fillna(0.0, [f"target_{dimension}"])
     now = materialize(now, "mix-cells")
-    for _ in range(rounds):
+    done, away = 0, float("inf")
+    while done < rounds or tolerance is not None:
         for dimension in targets:
             sums = now.groupBy(dimension).agg(F.sum("weight").alias("__sum"))
             now = (now.join(sums, dimension)
@@ -95,9 +99,35 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
                                                 * F.col(f"target_{dimension}") / F.col("__sum"))
                                .otherwise(0.0)).drop("__sum"))
         now = materialize(now, "mix-cells")
+        done += 1
+        if tolerance is not None and done >= rounds:
+            last, away = away, marginals(now, targets).agg(F.max("residual")).first()[0] or 0.0
+            if away <= tolerance or away > last * 0.999:
+                break
     return now
 
 
+def marginals(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target, reached, residual) of raked cells, a row per value of a dimension.
+
+    ``reached`` is the share of all fitted weight, ``residual`` its distance from
+    the target share.  Targets that the cells can't meet at once (a value without
+    tokens, shares that contradict each other) show as residuals that stay.
+    """
+    parts = []
+    for dimension, target in targets.items():
+        total = fitted.agg(F.sum("weight")).scalar()
+        sums = fitted.groupBy(F.col(dimension).alias("value")).agg((F.sum("weight") / total).alias("reached"))
+        wanted = target.select(F.col(dimension).alias("value"), F.col("share").alias("target"))
+        parts.append(wanted.join(sums, "value", "full_outer").fillna(0.0, ["target", "reached"]).select(
+            F.lit(dimension).alias("dimension"), "value", "target", "reached",
+            F.abs(F.col("reached") - F.col("target")).alias("residual")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def draw(id_col: str, salt: str = SALT) -> Column:
     """A number in [0, 1) from 52 bits of the md5 of the id."""
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{salt}"))
@@ -106,16 +136,18 @@ def draw(id_col: str, salt: str = SALT) -> Column:
 
 def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
                 rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text",
-                with_row: bool = False) -> DataFrame:
+                with_row: bool = False, tolerance: float | None = None) -> DataFrame:
     """Per row of ``docs``: id, dimensions, tokens, ``probability`` and ``sampled``.
 
-    ``with_row`` adds the whole row as the struct ``__row``.
+    ``with_row`` adds the whole row as the struct ``__row``; ``rounds`` and
+    ``tolerance`` as for :func:`rake`, whose result :func:`marginals` holds
+    against the targets.
     """
     rows = materialize(weighed(docs, id_col, text_col, with_row), "mix-rows")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-sums")
     if targets is None:
         targets = {d: tempered(cells, d, TEMPER[d]) for d in DIMENSIONS}
-    rated = rake(cells, targets, rounds).select(
+    rated = rake(cells, targets, rounds, tolerance).select(
         *DIMENSIONS, (F.col("weight") / F.col("tokens")).alias("rate"))
     most = rated.agg(F.max("rate").alias("most"))
     probability = F.when(F.col("most") > 0, F.col("rate") / F.col("most")).otherwise(0.0)
