@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from incident_analytics.operators import attachments as a
 from incident_analytics.operators import conversations as v
 from incident_analytics.operators import grounding as g
+from incident_analytics.operators import retrieval
 from incident_analytics.operators.generate import generate_tickets
 from incident_analytics.operators.metered import apply_metered, metered_log
 from incident_analytics.operators.retrieval import embed_corpus, hits_with_metadata, similar_topk
@@ -43,6 +44,59 @@ def test_topk_equals_brute_force_with_ties_and_small_blocks(spark):
         assert sorted(found.get(q, [])) == [(i + 1, k, -s) for i, (s, k) in enumerate(best)]
 
 
+def plain_topk(rows, k, threshold=-np.inf):
+    m = np.array([v for _, v in rows])
+    scores = m @ m.T
+    out = []
+    for q, (qid, _) in enumerate(rows):
+        best = sorted((-scores[q, c], cid) for c, (cid, _) in enumerate(rows)
+                      if cid != qid and np.isfinite(scores[q, c]) and scores[q, c] >= threshold)[:k]
+        out += [(qid, cid, -s, i + 1) for i, (s, cid) in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk_beside_vectors_that_hold_nan(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 1.0]), (3, [1.0, 3.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1)
+    got = similar_topk(df.withColumnRenamed("vec_id", "query_id"), df, 3, None, exclude_self=True).collect()
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in got) == plain_topk(rows, 3)
+
+
+def test_topk_in_many_cells_and_pieces(spark, monkeypatch):
+    """Copies, zero vectors and lengths beyond single precision, over cells and pieces of odd sizes."""
+    rng = random.Random(8)
+    rows = [(3 * i, [0.0] * 3 if i % 9 == 0 else [float(rng.randint(-3, 3)) * (1e20 if i % 50 == 1 else 1.0) for _ in range(3)])
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3, "vec_id")
+    monkeypatch.setattr(retrieval, "CELL_BYTES", 1000)
+    for threshold in (None, 1.5):
+        got = similar_topk(df.withColumnRenamed("vec_id", "query_id"), df, 4, threshold, exclude_self=True, block_rows=9)
+        want = plain_topk([(i, list(np.array(v, dtype=np.float32).astype(float))) for i, v in rows], 4,
+                          -np.inf if threshold is None else threshold)
+        assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in got.collect()) == want
+    q, kb = (rng_rows(300, 5), rng_rows(700, 5))
+    monkeypatch.setattr(retrieval, "_QUERY_ROWS", 37)
+    monkeypatch.setattr(retrieval, "_KB_ROWS", 11)
+    scores, ids = retrieval.best_hits(np.arange(300), q, np.arange(700), kb, 6, None, False)
+    exact = q.astype(float) @ kb.astype(float).T
+    assert np.allclose(np.sort(exact, axis=1)[:, ::-1][:, :6], scores, rtol=0, atol=1e-12)
+    assert np.allclose(np.take_along_axis(exact, ids, 1), scores, rtol=0, atol=1e-12)
+
+
+def rng_rows(n, dim):
+    return np.random.default_rng(n).normal(size=(n, dim)).astype(np.float32)
+
+
+def test_a_side_is_copied_once_per_group_of_the_other(spark):
+    """Copies follow from bytes and cores and not from the number of shuffle partitions; a cell stays bounded."""
+    for side in ((1, 1000), (600, 79 << 20), (6000, 786 << 20), (40_000, 5 << 30)):
+        for other in ((1, 1000), (1200, 157 << 20), (6000, 786 << 20)):
+            q, k = retrieval._grid(side, other, 12)
+            assert side[1] / q <= retrieval.CELL_BYTES and other[1] / k <= retrieval.CELL_BYTES
+            assert q <= max(48, side[1] // retrieval.CELL_BYTES + 1) and k <= max(48, other[1] // retrieval.CELL_BYTES + 1)
+            assert q * k >= min(48, side[0] * other[0])
+
+
 def test_custom_encoder_gives_unit_vectors(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "")], "id bigint, text string")
     encode = lambda texts: np.array([[len(t), 2.0 * len(t)] for t in texts])
