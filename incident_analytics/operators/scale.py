@@ -157,6 +157,21 @@ def heavy_keys(counts: DataFrame, key: str, n: str, share: int = 1000) -> DataFr
     return counts.where(F.col(n) * share > total).select(key)
 
 
+def least_common_count(counts: DataFrame, n: str, max_rows: int) -> int:
+    """A power of two such that at most ``max_rows`` keys of a table of counts are counted as often or more.
+
+    Found from the number of keys per bit length of the count, at most 64 rows.
+    """
+    held, least = 0, 63
+    bits = F.length(F.bin(F.col(n).cast("bigint")))
+    for row in counts.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("bits")).collect():
+        held += row["keys"]
+        if held > max_rows:
+            break
+        least = row["bits"]
+    return 1 << (least - 1)
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, spread: Column,
                 how: str = "inner", salts: int = 64) -> DataFrame:
     """Equi-join on ``key`` with the rows of heavy keys spread over ``salts`` partitions.

@@ -12,6 +12,7 @@ from incident_analytics.operators import retrieval
 from incident_analytics.operators.generate import generate_tickets
 from incident_analytics.operators.metered import apply_metered, metered_log
 from incident_analytics.operators.retrieval import embed_corpus, hits_with_metadata, similar_topk
+from incident_analytics.operators.scale import least_common_count
 from incident_analytics.operators.summarize import extractive_summaries
 from incident_analytics.functions.logs import day_bucket, with_prompt_style
 from incident_analytics.functions.text import thread_title
@@ -193,6 +194,28 @@ def test_sentences_of_large_vocabularies_score_the_same(spark):
     assert "Word3 unique3 fails." in small[3] and "The end of it." not in small[3]
 
 
+def test_only_rare_tokens_are_joined_by_shuffle(spark):
+    """The most frequent tokens of a vocabulary beyond the bound are broadcast; the digests stay the same."""
+    counts = spark.createDataFrame([("a", 9), ("b", 8), ("c", 7), ("d", 2), ("e", 1)], "token string, df bigint")
+    common = {n: counts.where(F.col("df") >= least_common_count(counts, "df", n)).count() for n in (0, 1, 2, 3, 4, 5)}
+    assert common == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
+    df = spark.createDataFrame([(i % 25, f"The server room number {i % 25} is hot.\tThe fan  is loud! Word{i} unique{i} fails. "
+                                         "The end of it.") for i in range(30)]
+                               + [(3, "short"), (99, "?" * 50), (98, None)], "id bigint, text string")
+    plain = sorted(map(tuple, extractive_summaries(df, keep=2).collect()))
+    for bound in (0, 3, 9):
+        assert sorted(map(tuple, extractive_summaries(df, keep=2, vocabulary_rows=bound).collect())) == plain
+    shared = [text for i, text in plain if i == 3]  # rows of one id share the sentences of all of them
+    assert len(shared) == 3 and len(set(shared)) == 1 and "Word3 unique3" in shared[0] and "Word28 unique28" in shared[0]
+    assert (99, "?" * 50) in plain and (98, "") in plain
+
+
+def test_texts_are_shuffled_once(spark):
+    df = spark.range(9).select("id", F.repeat(F.lit("One more line. "), 9).alias("text"))
+    plan = extractive_summaries(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == 2  # idf by token, best sentences by id
+
+
 def test_titles_and_buckets(spark):
     text = "word " * 30
     row = spark.createDataFrame([("Short  one", "", text)], "a string, b string, c string").select(
